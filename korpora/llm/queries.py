@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from korpora.llm import distinctive, encode, lines, packing, splitting
+from korpora.llm import distinctive, encode, forms, lines, packing, splitting
 from korpora.session import materialize
 from korpora.sources.tables import table
 
@@ -18,6 +17,14 @@ def p4_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "docs"))
 
 
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.consistent_forms(*(table(spark, sf_dir, t) for t in ("docs", "terms", "lang_samples")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_forms(spark, sf_dir).where("size(issues) > 0").select("place", "shard", "row_key").distinct()
+
+
 def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.term_scores(table(spark, sf_dir, "postings"), table(spark, sf_dir, "docs"))
 
@@ -51,7 +58,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_profiles"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean_pages, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_clean_pages, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 SQL = {
     "p7_found": """
