@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(app: str = "korpora", cpus: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster use your own.
 
-    Executors run operator code in Python workers, so the package must be
-    importable there (``--py-files`` or an installed wheel).
+    Executors run operator code in Python workers, so call ``ship`` on a session
+    of your own unless the package is installed there.
     """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -30,9 +32,27 @@ def get_spark(app: str = "korpora", cpus: str = "*", **conf: str) -> SparkSessio
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators that need Python import their functions from it there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_korpora_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="korpora-package-")) / "korpora.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._korpora_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
