@@ -134,17 +134,11 @@ def boundary_strings(
 
 def _choices(most: int, overlap: int) -> str:
     """Alternatives for the next ``most`` new tokens, the preferred first."""
-    least = min(overlap + 1, most)
-
-    def up_to(low: int, end: str) -> str:
-        # The piece after this one starts ``overlap`` tokens before the cut; that must not be within a character.
-        if not overlap or most <= overlap + 1:
-            return f".{{{max(low, 1) - 1},{most - 1}}}{end}"
-        return f".{{{max(low - overlap - 1, 0)},{most - overlap - 1}}}[^b].{{{overlap - 1}}}{end}"
-
-    half = max(least, most // 2)
-    cuts = [up_to(half, c) for c in "PLS"] + [up_to(least, c) for c in "PLS"]
-    cuts += [up_to(half, c) for c in "CW"] + [up_to(least, c) for c in "CWj"] + [up_to(least, "[^b]")]
+    # The piece after this one starts ``overlap`` tokens before the cut; that must not be within a character.
+    whole = f"(?<!b.{{{overlap}}})" if overlap else ""
+    least, half = min(overlap + 1, most), max(min(overlap + 1, most), most // 2)
+    wanted = [(half, c) for c in "PLS"] + [(least, c) for c in "PLS"] + [(half, "C"), (least, "W"), (least, "C"), (least, "j"), (least, "[^b]")]
+    cuts = [f".{{{low - 1},{most - 1}}}{letter}{whole}" for low, letter in wanted]
     return "|".join([f".{{1,{most}}}$", *cuts, f".{{1,{most}}}"])
 
 
@@ -152,7 +146,7 @@ def cut_pattern(limit: int, overlap: int) -> str:
     """The expression whose matches are the new tokens of each piece."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and under the limit")
-    return f"^(?:{_choices(limit, overlap)})|(?:{_choices(limit - overlap, overlap)})"
+    return f"(?s)^(?:{_choices(limit, overlap)})|(?:{_choices(limit - overlap, overlap)})"
 
 
 def _cuts(limit: int, overlap: int) -> Column:
