@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import distinctive, encode, forms, lines, packing, splitting
+from korpora.llm import distinctive, encode, forms, lines, packing, splitting, truncation
 from korpora.session import materialize
 from korpora.sources.tables import table
 
@@ -17,6 +17,14 @@ def p4_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "docs"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "docs")).select("id", "field").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "docs"))
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.consistent_forms(*(table(spark, sf_dir, t) for t in ("docs", "terms", "lang_samples")))
 
@@ -58,7 +66,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_profiles"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean_pages, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_clean_pages, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 SQL = {
     "p7_found": """
