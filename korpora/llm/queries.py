@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import boilerplate, distinctive, encode, forms, lines, packing, splitting, truncation
+from korpora.llm import boilerplate, distinctive, encode, forms, language, lines, packing, splitting, truncation
 from korpora.session import materialize
 from korpora.sources.tables import table
 
 
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(table(spark, sf_dir, "docs"), table(spark, sf_dir, "lang_samples"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_issues(materialize(p2_pages(spark, sf_dir), "languages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.furniture(table(spark, sf_dir, "docs"))
 
@@ -74,7 +82,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_profiles"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_articles, p4_found, p4_clean_pages, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_articles, p4_found, p4_clean_pages, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 SQL = {
     "p7_found": """
