@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from korpora.plans import skew
+from korpora.plans import activity, search, skew, text_index
 
-MODULES = (skew,)
+MODULES = (text_index, search, activity, skew)
 
 
 def queries() -> dict:
