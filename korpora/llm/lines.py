@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korpora.session import materialize
+
 #: Rate on other sources' pages beyond which a line is not excused any further.
 TOLERATED = 0.005
 #: Pages of its source that a line must stand on to be tested.
@@ -56,6 +58,11 @@ def line_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", sour
     )
 
 
+def key_bytes(key: Column) -> Column:
+    """16 bytes that stand for a key wherever rows move."""
+    return F.unhex(F.md5(key))
+
+
 def _ratio(k: Column, n: Column, p0: Column) -> Column:
     """Signed log-likelihood ratio of k in n against the rate p0; 0 unless the rate is higher."""
     p = k / n
@@ -69,7 +76,7 @@ def line_excess(docs: DataFrame, lines: DataFrame, source: tuple[str, ...] = ("d
     sizes = docs.groupBy(*held).agg(F.count("*").alias("source_pages"))
     every = docs.count()
     per = (
-        lines.where("key <> ''").select(*held, F.sha2("key", 256).alias("key"), "id").distinct()
+        lines.where("key <> ''").select(*held, key_bytes(F.col("key")).alias("key"), "id").distinct()
         .groupBy(*source, "key").agg(F.count("*").alias("pages"))
     )
     all_pages = per.groupBy("key").agg(F.sum("pages").alias("all_pages"))
@@ -112,10 +119,10 @@ def repeated_lines(
     per id.
     """
     lines = line_table(docs, id_col, text_col, source)
-    found = excessive(line_excess(docs, lines, source, least=least), false_rate)
+    found = excessive(materialize(line_excess(docs, lines, source, least=least), "excess"), false_rate)
     found = found.where((F.col("pages") >= least) & (F.col("pages") >= share * F.col("source_pages")))
     held = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in source]
-    at = lines.where("key <> ''").select("id", "line_no", *held, F.sha2("key", 256).alias("key"))
+    at = lines.where("key <> ''").select("id", "line_no", *held, key_bytes(F.col("key")).alias("key"))
     return at.join(found.select(*source, "key"), [*source, "key"], "left_semi").select("id", "line_no").distinct()
 
 
