@@ -81,8 +81,9 @@ class OutputCodes:
 
     def __init__(self, texts: list[str], labels: list[str], ridge: float = 1.0):
         self.languages = sorted(set(labels))
-        if len(self.languages) < 2:
-            raise ValueError("samples of at least two languages are needed")
+        self.words: dict[str, tuple[np.ndarray, int]] = {}
+        if len(self.languages) < 2:  # nothing to tell apart
+            return
         self.code = codewords(len(self.languages))
         x = np.zeros((len(texts), DIMENSIONS), np.float32)
         for row, text in enumerate(texts):
@@ -99,7 +100,6 @@ class OutputCodes:
         accuracy = ((held_out * y) > 0).mean(0)
         self.reliability = np.maximum(accuracy - 0.5, 0.01)
         self.reliability /= self.reliability.sum()
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
 
     def bits(self, words: list[str]) -> np.ndarray:
         total, n = np.zeros(len(self.reliability)), 0
@@ -116,7 +116,7 @@ class OutputCodes:
 
     def decide(self, words: list[str]) -> tuple[str | None, float]:
         """(language, confidence) of a run of words; no language for too few letters."""
-        if sum(map(len, words)) < LEAST_LETTERS:
+        if sum(map(len, words)) < LEAST_LETTERS or len(self.languages) < 2:
             return None, 0.0
         margin = self.code * self.bits(words)
         loss = (self.reliability * np.exp(-2 * margin)).sum(1)
@@ -179,7 +179,8 @@ def page_languages(docs: DataFrame, samples: DataFrame, sample_pages: int = SAMP
     ``label`` is the stored one and ``named`` the language it names, if any;
     ``lang`` is that of most of the page's article (of its lines without the
     page's furniture, or of all lines if nothing else is there). A text without
-    enough letters has no ``lang`` and confidence 0. Pages with a null or blank
+    enough letters has no ``lang`` and confidence 0, as has every page if the
+    samples are of fewer than two languages. Pages with a null or blank
     text give no row; repeated rows of an id count once.
     """
     codes = fit(samples)

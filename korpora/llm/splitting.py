@@ -175,7 +175,9 @@ def split(
 ) -> DataFrame:
     """(profile, id, piece_no, start_token, n_tokens, shared, boundary, text) of every text over its profile's limit.
 
-    ``profiles`` holds a few rows (profile, piece_limit, overlap). Pieces follow
+    ``profiles`` holds a few rows (profile, piece_limit, overlap); a profile
+    without a positive limit is left out, a null overlap is 0 and none reaches
+    the limit. Pieces follow
     each other from piece_no 0; each but the first repeats the last ``shared`` =
     ``overlap`` tokens of the one before, and none has more than ``piece_limit``
     tokens. ``boundary`` is the letter of the cut that ends the piece (see the
@@ -185,7 +187,8 @@ def split(
     the limit, empty and null texts give no rows; repeated rows and null ids
     come out as often as they occur.
     """
-    limits = [tuple(r) for r in profiles.select("profile", "piece_limit", "overlap").distinct().orderBy("profile").collect()]
+    shared = F.greatest(F.least(F.coalesce("overlap", F.lit(0)), F.col("piece_limit") - 1), F.lit(0)).alias("overlap")
+    limits = [tuple(r) for r in profiles.where("piece_limit > 0").select("profile", "piece_limit", shared).distinct().orderBy("profile", "piece_limit").collect()]
     kind = docs.schema[id_col].dataType.simpleString()
     if not limits:
         return docs.sparkSession.createDataFrame(
