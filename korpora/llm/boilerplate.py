@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpora.llm.gbt import BoostedTrees
-from korpora.llm.lines import line_table
+from korpora.llm.lines import compatible, line_table
 from korpora.session import materialize
 
 #: Pages that the models are fitted on, at most.
@@ -49,23 +49,28 @@ def _build(line: str) -> str:
 
 
 def page_table(docs: DataFrame) -> DataFrame:
-    """(id, title, description, lines[(line_no, line, key, pages, site_pages)]) with one row per id.
+    """(id, title, description, site_pages, lines[(line_no, line, key, pages)]) with one row per id.
 
     ``pages`` counts the site's pages (distinct url) that have a line with the
-    same letters.
+    same letters. Only hashes of lines meet by site; of each page the numbers of
+    its repeated lines come back, so its text moves once, to join them.
     """
-    base = docs.select("id", F.coalesce("domain", F.lit("")).alias("domain"), "url", "title", "description", "text").dropDuplicates(["id"])
-    lines = line_table(base, "id", "text", ("domain", "url", "title", "description"))
-    stats = (
-        lines.where("key <> ''").select("domain", F.sha2("key", 256).alias("hash"), F.coalesce("url", F.col("id").cast("string")).alias("url")).distinct()
-        .groupBy("domain", "hash").agg(F.count("*").alias("pages")).where("pages > 1")
-    )
-    sites = base.groupBy("domain").agg(F.count_distinct(F.coalesce("url", F.col("id").cast("string"))).alias("site_pages"))
-    joined = lines.withColumn("hash", F.sha2("key", 256)).join(stats, ["domain", "hash"], "left").join(sites, "domain")
-    return joined.groupBy("id").agg(
-        F.first("title").alias("title"), F.first("description").alias("description"), F.first("site_pages").alias("site_pages"),
-        F.sort_array(F.collect_list(F.struct("line_no", "line", "key", F.coalesce("pages", F.lit(1)).alias("pages")))).alias("lines"),
-    )
+    url = F.coalesce(F.xxhash64("url"), F.xxhash64("id"))
+    base = docs.select("id", F.coalesce("domain", F.lit("")).alias("domain"), url.alias("url"), "title", "description", "text").dropDuplicates(["id"])
+    lines = line_table(base, "id", "text", ("domain", "url")).where("key <> ''").select("id", "domain", "url", "line_no", F.xxhash64("key").alias("hash"))
+    stats = lines.select("domain", "hash", "url").distinct().groupBy("domain", "hash").agg(F.count("*").alias("pages")).where("pages > 1")
+    sites = base.groupBy("domain").agg(F.count_distinct("url").alias("site_pages"))
+    again = lines.join(stats, ["domain", "hash"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "pages"))).alias("again"))
+    pair = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(compatible(F.col("text")), "\n").alias("form"))
+    held = F.transform(
+        pair,
+        lambda p, i: F.struct(
+            (i + 1).alias("line_no"), p["line"].alias("line"), F.regexp_replace(F.lower(p["form"]), r"\P{L}+", "").alias("key"),
+            F.coalesce(F.try_element_at("again", i + 1), F.lit(1)).alias("pages"),
+        ),
+    )
+    joined = base.join(sites, "domain").join(again, "id", "left")
+    return joined.select("id", "title", "description", "site_pages", F.coalesce(held, F.array().cast("array<struct<line_no: int, line: string, key: string, pages: bigint>>")).alias("lines"))
 
 
 class Page:
