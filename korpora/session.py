@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +38,21 @@ def get_spark(app: str = "korpora", cpus: str = "*", **conf: str) -> SparkSessio
     return spark
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once no result that reads them is needed; how many they were."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    count = len(_written)
+    _written.clear()
+    return count
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
@@ -66,7 +83,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("spark.korpora.shared.dir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="korpora-shared-")
+        folder = tempfile.mkdtemp(prefix="korpora-shared-")
+        atexit.register(shutil.rmtree, folder, True)
+        own = "file://" + folder
         spark.conf.set("spark.korpora.shared.dir", own)
     return own
 
@@ -80,4 +99,5 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/korpora-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

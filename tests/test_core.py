@@ -105,3 +105,13 @@ def test_incremental_index_folds_batches(spark, tmp_path):
 
     jobs.incremental_index(stream, "", str(tmp_path / "cp"), fold).awaitTermination()
     assert seen == {f"https://x.example/{i}": i + 3 for i in range(3)}
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from korpora.session import _written, materialize, release, shared_dir
+
+    kept, _written[:] = list(_written), []
+    materialize(spark.range(3), "test")
+    (path,) = _written
+    assert path.startswith(shared_dir(spark)) and release(spark) == 1
+    _written[:] = kept
