@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from korpora.plans import activity, search, skew, text_index
+from korpora.plans import activity, maintenance, search, skew, text_index
 
-MODULES = (text_index, search, activity, skew)
+MODULES = (text_index, search, maintenance, activity, skew)
 
 
 def queries() -> dict:

@@ -126,3 +126,26 @@ def test_list_join(spark):
 def test_empty_corpus(spark):
     ix = build_index(spark.createDataFrame([], SCHEMA))
     assert ix.stats.first()["avg_len"] == 1.0 and find(spark, ix, "anything") == []
+
+
+def test_engine_and_upsert(spark):
+    from korpora.engine import SearchEngine
+    from korpora.operators import maintenance
+
+    ix = corpus(spark, *[{"title": f"lighthouse {i}", "text": "an old lighthouse stands here " * (i + 1), "host": f"h{i}.example"} for i in range(12)])
+    engine = SearchEngine(ix, cap=12)
+    answer = engine.search("lighthuose", "2026-08-01", page=2, per_page=5)
+    assert answer.correction == "lighthouse" and (answer.total, answer.total_pages, len(answer.results)) == (12, 3, 5)
+    assert answer.limited == ["lighthous"] and answer.operators is None and answer.results[0]["place"] == 6
+    assert answer.results[0]["reasons"][0]["code"] == "matches_word" and "lighthouse" in answer.results[0]["snippet"]
+    assert engine.search("lighthuose", "2026-08-01", page=2, per_page=5) is answer
+    assert engine.search("lighthuose", "2026-08-01", allow_correction=False).total == 0
+    assert engine.suggest("an lig") == ["lighthouse"] and engine.stats()["n_docs"] == 12
+    with pytest.raises(ValueError):
+        engine.search("x" * 501, "2026-08-01")
+    new = spark.createDataFrame([(99, "https://h0.example/0", "replaced", "", "kelp", None, None, THEN)], SCHEMA)
+    later = maintenance.upsert(ix, new)
+    assert later.docs.count() == 12 and later.postings.where("doc_id = 1").count() == 0
+    assert {r["term"] for r in later.postings.where("doc_id = 99").collect()} == {"replac", "kelp"}
+    fewer = maintenance.remove(later, spark.createDataFrame([("https://h1.example/1#x",)], "url string"))
+    assert fewer.docs.count() == 11 and fewer.terms.where("term = 'lighthous'").first()["df"] == 10
