@@ -68,24 +68,30 @@ def length_spikes(values: DataFrame) -> DataFrame:
     )
 
 
+def _tokens(line: Column) -> Column:
+    """Words, numbers (all as 0) and marks of a line."""
+    return F.regexp_extract_all(F.regexp_replace(line, r"\p{N}+", "0"), F.lit(_TOKEN), 0)
+
+
 def _shape(token: Column) -> Column:
-    """A token as counted: numbers are one, capitalised words of a rare kind are told apart later."""
-    return F.when(token.rlike(r"\p{N}"), F.lit("<n>")).otherwise(F.lower(token))
+    """A token as counted: tokens with numbers are one."""
+    return F.when(F.contains(token, F.lit("0")), F.lit("<n>")).otherwise(F.lower(token))
 
 
 def _generic(token: Column) -> Column:
-    return F.when(token.rlike(r"\p{N}"), F.lit("<n>")).when(token.rlike(r"^\p{Lu}"), F.lit("<C>")).otherwise(token)
+    """The same, with capitalised words as one too."""
+    first = F.left(token, F.lit(1))
+    return F.when(F.contains(token, F.lit("0")), F.lit("<n>")).when(F.lower(first) != first, F.lit("<C>")).otherwise(token)
 
 
-def _keys(a: Column, b: Column) -> Column:
+def _keys(shape_a: Column, shape_b: Column, generic_a: Column, generic_b: Column) -> Column:
     """Keys of two tokens: both as they are, the second alone, both with capitalised words alike."""
-    return F.array(
-        F.concat_ws(" ", F.lit("2"), _shape(a), _shape(b)), F.concat_ws(" ", F.lit("1"), _shape(b)), F.concat_ws(" ", F.lit("0"), _generic(a), _generic(b))
-    )
+    return F.array(F.concat(F.lit("2"), shape_a, F.lit(" "), shape_b), F.concat(F.lit("1"), shape_b), F.concat(F.lit("0"), generic_a, F.lit(" "), generic_b))
 
 
 def _last_words(tokens: Column) -> Column:
-    return _keys(F.coalesce(F.try_element_at(tokens, F.lit(-2)), F.lit("^")), F.try_element_at(tokens, F.lit(-1)))
+    a, b = F.coalesce(F.try_element_at(tokens, F.lit(-2)), F.lit("^")), F.try_element_at(tokens, F.lit(-1))
+    return _keys(_shape(a), _shape(b), _generic(a), _generic(b))
 
 
 def plain(value: Column) -> Column:
@@ -110,17 +116,19 @@ def _line_key(line: Column) -> Column:
 
 def continuations(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, ends, goes_on): how often the ``wanted`` keys end a whole line or a sentence, and how often a word follows."""
-    tokens = lines.select(F.regexp_extract_all("line", F.lit(_TOKEN), 0).alias("t"), "whole")
-    grams = tokens.where("size(t) > 0").select(
-        "whole",
-        F.explode(F.arrays_zip(
-            F.concat(F.array(F.lit("^")), F.slice("t", 1, F.size("t") - 1)).alias("a"), F.col("t").alias("b"),
-            F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit(""))).alias("c"),
-        )).alias("g"),
-    )
-    a, b, c = F.col("g.a"), F.col("g.b"), F.col("g.c")
+    tokens = lines.select(_tokens(F.col("line")).alias("t"), "whole").where("size(t) > 0")
+    shaped = tokens.select("whole", F.transform("t", _shape).alias("s"), F.transform("t", _generic).alias("g"))
+
+    def before(x: str) -> Column:
+        return F.concat(F.array(F.lit("^")), F.slice(x, 1, F.size(x) - 1))
+
+    after = F.concat(F.slice("s", 2, F.size("s")), F.array(F.lit("")))
+    grams = shaped.select(
+        "whole", F.explode(F.arrays_zip(before("s").alias("sa"), F.col("s").alias("sb"), before("g").alias("ga"), F.col("g").alias("gb"), after.alias("c"))).alias("g")
+    )
+    c = F.col("g.c")
     counted = grams.where((c != "") | F.col("whole")).select(
-        F.explode(_keys(a, b)).alias("key"), ((c == "") | c.isin(".", "!", "?")).cast("long").alias("end")
+        F.explode(_keys(*[F.col(f"g.{x}") for x in ("sa", "sb", "ga", "gb")])).alias("key"), c.isin("", ".", "!", "?").cast("long").alias("end")
     )
     totals = counted.groupBy("key").agg(F.sum("end").alias("ends"), (F.count("*") - F.sum("end")).alias("goes_on"))
     return totals.join(wanted.select("key").distinct(), "key", "left_semi")
@@ -158,7 +166,7 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     of_lines = F.regexp_replace(F.lower(hay), r"[^\p{L}\n]+", "")
     at_line_end = F.coalesce(F.instr(of_lines, F.concat(tail, F.lit("\n"))) > 0, F.lit(False))
     after = F.when((F.col("field") == "description") & at_line_end & ~F.col("bare").rlike(r"\p{L}{2,}[.!?] "), "\n").when(at > 0, F.substr(hay, at + F.length(needle), F.lit(2)))
-    tokens = F.regexp_extract_all(F.regexp_extract("bare", r"[^\n]*$", 0), F.lit(_TOKEN), 0)
+    tokens = _tokens(F.regexp_extract("bare", r"[^\n]*$", 0))
     is_title = F.col("field") == "title"
     judged = marked.select(
         "id", "field", "mark", "closed", spike.alias("spike"), after.alias("after"), _last_words(tokens).alias("keys"),
@@ -174,7 +182,7 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     )
     judged = materialize(judged.where("why IS NULL OR why <> ''").select("id", "field", "why", "keys", "line", "n_tokens"), "judged")
     sure = judged.where("why IS NOT NULL").select("id", "field", "why")
-    lines = _lines(docs, fields)
+    lines = materialize(_lines(docs, fields), "lines")
     known = lines.groupBy(_line_key(F.col("line")).alias("line")).count().where(F.col("count") >= LINE_VALUES)
     left = judged.where("why IS NULL AND n_tokens > 0").join(known, "line", "left_anti")
     keyed = left.select("id", "field", F.posexplode("keys").alias("level", "key"))
