@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 
+from korpora.functions.text import FOLDED_RANGES
 from korpora.llm import boilerplate, distinctive, encode, forms, language, lines, packing, splitting, truncation
 from korpora.session import materialize
 from korpora.sources.tables import table
@@ -84,7 +87,32 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_articles, p4_found, p4_clean_pages, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
+
+
+def _sql_nfkc(text: str) -> str:
+    """NFKC for DuckDB, which has NFC: single compatibility forms by table, the few longer ones with letters one by one."""
+    one, to, longer = [], [], []
+    for a, b in FOLDED_RANGES:
+        for c in map(chr, range(a, b)):
+            form = unicodedata.normalize("NFKC", c)
+            if form != c and len(form) == 1 and form != "'":
+                one.append(c)
+                to.append(form)
+            elif form != c and c in "ﬀﬁﬂﬃﬄﬅﬆĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ№℡™":
+                longer.append((c, form.replace("'", "")))
+    out = f"translate({text}, '{''.join(one)}', '{''.join(to)}')"
+    for c, form in longer:
+        out = f"replace({out}, '{c}', '{form}')"
+    return f"nfc_normalize({out})"
+
+
 SQL = {
+    "p4_found": f"""
+WITH l AS (SELECT id, domain, shard, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT id, domain, shard, string_split({_sql_nfkc("text")}, chr(10)) AS ls FROM docs)),
+k AS (SELECT id, coalesce(domain, '') AS domain, coalesce(shard, -1) AS shard, line_no, regexp_replace(lower(line), '\\P{{L}}+', '', 'g') AS key FROM l),
+n AS (SELECT coalesce(domain, '') AS domain, coalesce(shard, -1) AS shard, count(*) AS pages FROM docs GROUP BY 1, 2),
+c AS (SELECT domain, shard, key, count(DISTINCT id) AS on_pages FROM k WHERE key <> '' GROUP BY ALL)
+SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN c USING (domain, shard, key) JOIN n USING (domain, shard) WHERE on_pages >= 4 AND on_pages >= 0.05 * pages""",
     "p7_found": """
 WITH live AS (SELECT DISTINCT shard, doc_id, term, w FROM postings WHERE doc_id <> 0 AND term <> ''),
 df AS (SELECT shard, term, count(DISTINCT doc_id) AS n FROM live GROUP BY shard, term)
