@@ -145,40 +145,48 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """
     values = field_values(docs, fields)
     bare = F.regexp_replace(plain(F.col("value")), _STRIP, "")
+    is_title = F.col("field") == "title"
+    is_description = F.col("field") == "description"
     marked = values.select(
-        "id", "source", "field", "value", "page", bare.alias("bare"),
+        "id", "source", "field", "page", bare.alias("bare"),
         F.col("value").rlike(_MARK).alias("mark"), F.col("value").rlike(_CLOSED).alias("closed"),
         F.length("value").alias("chars"), F.octet_length("value").alias("bytes"),
     )
+    # What the page has right after the value: of a title its line, of a description its sentence. Each
+    # step is a column of its own, so that none is computed twice, and only where it can matter.
+    sought = ~F.col("mark") & (is_title | ~F.col("closed")) & (F.length("bare") >= 8)
+    n = F.length("letters")
+    searched = (
+        marked.withColumn("hay", F.when(sought, F.concat(F.lit("\n"), plain(F.col("page")), F.lit("\n"))))
+        .withColumn("needle", F.when(is_title, F.concat(F.lit("\n"), F.col("bare"))).otherwise(F.substr("bare", F.greatest(F.length("bare") - 60, F.lit(0)) + 1)))
+        .withColumn("at", F.instr("hay", F.col("needle")))
+        # A description of short lines in a row ends where one of these lines does.
+        .withColumn("letters", F.when(is_description & F.col("hay").isNotNull() & ~F.col("bare").rlike(r"\p{L}{2,}[.!?] "), F.regexp_replace(F.lower("bare"), r"\P{L}+", "")))
+        .withColumn("of_lines", F.when(n >= 8, F.regexp_replace(F.lower("hay"), r"[^\p{L}\n]+", "")))
+        .withColumn("tail", F.concat(F.substr("letters", F.greatest(n - 24, F.lit(0)) + 1), F.lit("\n")))
+        .withColumn("after", F.when(F.instr("of_lines", F.col("tail")) > 0, "\n").when(F.col("at") > 0, F.substr("hay", F.col("at") + F.length("needle"), F.lit(2))))
+        .withColumn("last", F.regexp_extract("bare", r"[^\n]*$", 0)).withColumn("tokens", _tokens(F.col("last")))
+    )
+    narrow = materialize(
+        searched.select(
+            "id", "source", "field", "chars", "bytes", "mark", "closed", "after", _last_words(F.col("tokens")).alias("keys"),
+            _line_key(F.col("last")).alias("line"), F.size("tokens").alias("n_tokens"),
+        ),
+        "values",
+    )
     spikes = materialize(length_spikes(values), "spikes")
     for unit in ("chars", "bytes"):
         own = spikes.where((F.col("unit") == unit) & (F.col("source") != "*")).select("source", "field", F.col("length").alias(unit), F.lit(True).alias(f"own_{unit}"))
         all_ = spikes.where((F.col("unit") == unit) & (F.col("source") == "*")).select("field", F.col("length").alias(unit), F.lit(True).alias(f"all_{unit}"))
-        marked = marked.join(own, ["source", "field", unit], "left").join(F.broadcast(all_), ["field", unit], "left")
-    spike = F.coalesce("own_chars", "own_bytes", "all_chars", "all_bytes", F.lit(False))
-    # What the page has right after the value: of a title its line, of a description its sentence.
-    needle = F.when(F.col("field") == "title", F.concat(F.lit("\n"), F.col("bare"))).otherwise(F.substr("bare", F.greatest(F.length("bare") - 60, F.lit(0)) + 1))
-    hay = F.concat(F.lit("\n"), plain(F.col("page")), F.lit("\n"))
-    at = F.when(F.length("bare") >= 8, F.instr(hay, needle)).otherwise(0)
-    # A description of short lines in a row ends where one of these lines does.
-    letters = F.regexp_replace(F.lower("bare"), r"\P{L}+", "")
-    tail = F.when(F.length(letters) >= 8, F.substr(letters, F.greatest(F.length(letters) - 24, F.lit(0)) + 1))
-    of_lines = F.regexp_replace(F.lower(hay), r"[^\p{L}\n]+", "")
-    at_line_end = F.coalesce(F.instr(of_lines, F.concat(tail, F.lit("\n"))) > 0, F.lit(False))
-    after = F.when((F.col("field") == "description") & at_line_end & ~F.col("bare").rlike(r"\p{L}{2,}[.!?] "), "\n").when(at > 0, F.substr(hay, at + F.length(needle), F.lit(2)))
-    tokens = _tokens(F.regexp_extract("bare", r"[^\n]*$", 0))
-    is_title = F.col("field") == "title"
-    judged = marked.select(
-        "id", "field", "mark", "closed", spike.alias("spike"), after.alias("after"), _last_words(tokens).alias("keys"),
-        _line_key(F.regexp_extract("bare", r"[^\n]*$", 0)).alias("line"), F.size(tokens).alias("n_tokens"),
-    ).withColumn(
+        narrow = narrow.join(own, ["source", "field", unit], "left").join(all_, ["field", unit], "left")
+    judged = narrow.withColumn(
         "why",
         F.when(F.col("mark"), "mark")
         .when(F.col("closed") & ~is_title, "")
         .when(F.col("after").rlike(r"^[\n.!?]|^$"), "")
-        .when(F.col("spike"), "spike")
+        .when(F.coalesce("own_chars", "own_bytes", "all_chars", "all_bytes", F.lit(False)), "spike")
         .when(is_title & F.col("after").rlike(r"^[\p{L}\p{N} ,:;(\x{2013}-]"), "page")
-        .when((F.col("field") == "description") & F.col("after").rlike(r"^[\p{L}\p{N},;]|^ [\p{Ll}\p{N}]"), "page"),
+        .when(is_description & F.col("after").rlike(r"^[\p{L}\p{N},;]|^ [\p{Ll}\p{N}]"), "page"),
     )
     judged = materialize(judged.where("why IS NULL OR why <> ''").select("id", "field", "why", "keys", "line", "n_tokens"), "judged")
     sure = judged.where("why IS NOT NULL").select("id", "field", "why")
