@@ -165,7 +165,7 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         .withColumn("of_lines", F.when(n >= 8, F.regexp_replace(F.lower("hay"), r"[^\p{L}\n]+", "")))
         .withColumn("tail", F.concat(F.substr("letters", F.greatest(n - 24, F.lit(0)) + 1), F.lit("\n")))
         .withColumn("after", F.when(F.instr("of_lines", F.col("tail")) > 0, "\n").when(F.col("at") > 0, F.substr("hay", F.col("at") + F.length("needle"), F.lit(2))))
-        .withColumn("last", F.regexp_extract("bare", r"[^\n]*$", 0)).withColumn("tokens", _tokens(F.col("last")))
+        .withColumn("last", F.substring_index("bare", "\n", -1)).withColumn("tokens", _tokens(F.col("last")))
     )
     narrow = materialize(
         searched.select(
