@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from korpora.functions.text import stem_all, tokenize
 from korpora.functions.urls import domain, normalize_url
 from korpora.operators.graph import resolved_edges
-from korpora.session import materialize
+from korpora.session import materialize, spread
 
 # Fixed values that define results.
 FIELD_WEIGHTS = (3.0, 1.5, 1.0)
@@ -124,7 +124,7 @@ def build_index(docs: DataFrame) -> Index:
     terms alone.
     """
     live = materialize(store_form(latest_by_url(docs)), "live")
-    by_term = postings(tokens(live)).repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    by_term = postings(tokens(spread(live))).repartitionByRange("term").sortWithinPartitions("term", "doc_id")
     posts = materialize(by_term, "postings")
     counted = live.join(doc_lengths(posts).withColumnRenamed("doc_id", "id"), "id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     stored = materialize(counted, "docs")

@@ -38,6 +38,16 @@ def get_spark(app: str = "korpora", cpus: str = "*", **conf: str) -> SparkSessio
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table on at least as many partitions as there are cores.
+
+    A few small files would leave a step that is dear per row to a few tasks; a
+    table of many splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _written: list[str] = []
 
 
