@@ -15,7 +15,7 @@ SMALL = os.environ.get("KORPORA_TEST_DATA", "/root/testdata/sf0.001")
 def spark():
     from korpora.session import get_spark
 
-    session = get_spark("tests", "4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    session = get_spark("tests", "8", **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "6g"})
     yield session
     session.stop()
 
