@@ -16,11 +16,12 @@ sentences that it does not, the title, and what stands outside of the two.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpora.llm.gbt import BoostedTrees
@@ -33,11 +34,18 @@ SAMPLE_PAGES = 2500
 SURE_RATE, SURE_PAGES = 0.08, 3
 #: Price of a block with lines of both kinds.
 MIXED_PRICE = 1.5
+#: Words of an entry of a menu at most, and the share of its lines that are furniture at least.
+ENTRY_WORDS, ENTRY_RATE = 4, 0.8
+#: Entries in a row at the head of a part that make it a menu.
+MENU_ENTRIES = 2
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _ENDS = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)")
 _SEPARATORS = re.compile(r"[|·›»>/•▸→]|\s{2,}")
 _BULLET = re.compile(r"^\s*[»›▸•*–\-→·]")
+# Also read by the JVM: where a sentence ends, and what stands between the entries of a menu.
+_PART = r"(?<=[.!?…])[\"'”’»)\]]*\s+"
+_BETWEEN = r"\s*[|·›»>/•▸→]\s*|\s{2,}"
 
 
 def _build(line: str) -> str:
@@ -272,10 +280,13 @@ class FurnitureModel:
             return False
         if any(f and len(k) >= 6 and k in key for f, k in zip(found, page.keys)):
             return True
-        words = [w.lower() for w in _WORDS.findall(description or "")]
-        lean = [self.lean.get(w, 0.0) for w in words] if self.fitted else []
-        sentence = bool(_ENDS.search(description or ""))
-        return bool(lean) and not sentence and float(np.mean(lean)) > 1.0
+        parts = re.split(_PART, description or "") if self.fitted else []
+        return any(self._leans(part, 1 if len(parts) == 1 else 3) for part in parts)
+
+    def _leans(self, part: str, least: int) -> bool:
+        """By the words; one or two of them may be the rest of a cut sentence."""
+        lean = [self.lean.get(w.lower(), 0.0) for w in _WORDS.findall(part)]
+        return len(lean) >= least and float(np.mean(lean)) > 1.0
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> FurnitureModel:
@@ -284,13 +295,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> FurnitureModel:
     return FurnitureModel([Page(r["title"], r["description"], r["site_pages"], r["lines"]) for r in chosen.collect()])
 
 
-def label_lines(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(id, line_no, line, furniture) of the lines of every page, and (id, 0, description, furniture) of its description.
-
-    Blank lines and null or empty fields give no rows; repeated rows of an id
-    count once; pages of a null domain are one site; extra columns are ignored.
-    With no page to learn from, only repeated lines are furniture.
-    """
+def _judged(docs: DataFrame, sample: int) -> DataFrame:
+    """(id, line_no, line, furniture); of a description (line_no 0), whether its own page or its words show furniture."""
     pages = materialize(page_table(docs), "pages")
     model = fit(pages, sample)
     schema = f"id {docs.schema['id'].dataType.simpleString()}, line_no int, line string, furniture boolean"
@@ -311,6 +317,81 @@ def label_lines(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     return pages.mapInPandas(run, schema)
 
 
+def text_lines(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+    """(id, line_no, line, furniture) of ``label_lines`` without the descriptions."""
+    return _judged(docs, sample).where("line_no > 0")
+
+
+def _parts(line: Column) -> Column:
+    """Hashes of a line's sentences, by their letters; those of under 6 letters tell nothing."""
+    keys = F.transform(F.split(compatible(line), _PART), lambda p: F.regexp_replace(F.lower(p), r"\P{L}+", ""))
+    return F.transform(F.filter(keys, lambda k: F.length(k) >= 6), lambda k: F.xxhash64(k))
+
+
+def furniture_parts(lines: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(id) of the descriptions with a sentence that is furniture wherever else it stands.
+
+    The labels of all lines of all sites with the sentence are counted: more of
+    them, and at least two, must be furniture.
+    """
+    asked = descriptions.select("id", F.explode(F.array_distinct(_parts(F.col("line")))).alias("part"))
+    said = lines.select("furniture", F.explode(_parts(F.col("line"))).alias("part"))
+    is_one = F.col("furniture").cast("long")
+    votes = said.groupBy("part").agg(F.sum(is_one).alias("n"), F.count("*").alias("of")).where("n >= 2 AND 2 * n > of")
+    return asked.join(votes, "part", "left_semi").select("id").distinct()
+
+
+def menu_entries(lines: DataFrame) -> list[str]:
+    """What menus consist of: short lines, and parts of lines of three or more, that are furniture on several pages.
+
+    Menus come back, so this is a small vocabulary however many pages there are.
+    """
+    split = F.filter(F.split(F.regexp_replace(compatible(F.col("line")), r"\p{Cf}+", ""), _BETWEEN), lambda p: p != "")
+    of = lines.select("id", "furniture", split.alias("p")).where("size(p) <> 2").select("id", "furniture", F.explode("p").alias("entry"))
+    short = of.where(F.col("entry").rlike(r"\p{L}") & ~F.col("entry").rlike(r"\p{N}") & (F.size(F.split("entry", " ")) <= ENTRY_WORDS))
+    counted = short.groupBy("entry").agg(F.sum(F.col("furniture").cast("long")).alias("n"), F.count("*").alias("of"), F.min("id").alias("a"), F.max("id").alias("b"))
+    return [r["entry"] for r in counted.where((F.col("n") >= SURE_PAGES) & (F.col("n") >= ENTRY_RATE * F.col("of")) & (F.col("a") != F.col("b"))).select("entry").collect()]
+
+
+def starts_with_menu(description: str, entries: set[str]) -> bool:
+    """Whether a sentence of the description follows, or is, a run of a menu's entries."""
+    plain = "".join(c for c in unicodedata.normalize("NFKC", description) if unicodedata.category(c) != "Cf")
+    for part in re.split(_PART, plain):
+        words = re.sub(_BETWEEN, " ", part).split()
+        at = n = 0
+        while n < MENU_ENTRIES:
+            size = next((k for k in range(ENTRY_WORDS, 0, -1) if at + k <= len(words) and " ".join(words[at : at + k]) in entries), 0)
+            if not size:
+                break
+            at, n = at + size, n + 1
+        if n == MENU_ENTRIES:
+            return True
+    return False
+
+
+def label_lines(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+    """(id, line_no, line, furniture) of the lines of every page, and (id, 0, description, furniture) of its description.
+
+    A description is furniture if any of its parts is: by the page's own lines
+    or the part's words, by the labels that the same sentence has on all pages
+    of all sites, or by entries of menus at its head.
+    Blank lines and null or empty fields give no rows; repeated rows of an id
+    count once; pages of a null domain are one site; extra columns are ignored.
+    With no page to learn from, only repeated lines are furniture.
+    """
+    judged = materialize(_judged(docs, sample), "judged_lines")
+    lines, descriptions = judged.where("line_no > 0"), judged.where("line_no = 0")
+    entries = set(menu_entries(lines))
+
+    @F.pandas_udf("boolean")
+    def menu(description: pd.Series) -> pd.Series:
+        return description.map(lambda d: starts_with_menu(d, entries)).astype(bool)
+
+    said = furniture_parts(lines, descriptions).withColumn("said", F.lit(True))
+    found = descriptions.join(said, "id", "left").select("id", "line_no", "line", (F.col("furniture") | F.coalesce("said", F.lit(False)) | menu("line")).alias("furniture"))
+    return lines.unionByName(found)
+
+
 def furniture(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """(id, field, line_no) of the lines of ``text`` that are furniture, and of descriptions (line_no 1) that are or contain it."""
     is_line = F.col("line_no") > 0

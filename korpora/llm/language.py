@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.boilerplate import SAMPLE_PAGES, label_lines
+from korpora.llm.boilerplate import SAMPLE_PAGES, text_lines
 
 #: Labelled sample texts that the classifiers are fitted on, at most.
 SAMPLE_ROWS = 5000
@@ -184,7 +184,7 @@ def page_languages(docs: DataFrame, samples: DataFrame, sample_pages: int = SAMP
     text give no row; repeated rows of an id count once.
     """
     codes = fit(samples)
-    lines = label_lines(docs, sample_pages).where("line_no > 0")
+    lines = text_lines(docs, sample_pages)
     whole = lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "furniture"))).alias("lines"))
     kind = docs.schema["id"].dataType.simpleString()
 

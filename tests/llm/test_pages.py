@@ -174,6 +174,22 @@ def test_article_and_furniture(spark):
     assert got["description"] == {(i + 1, 1) for i in range(len(rows)) if i % 4 == 0}
 
 
+def test_furniture_within_descriptions(spark):
+    """Notices and menus of other pages in front of, after or instead of the article's sentences; a sentence of articles is none."""
+    rows = list(site())
+    told = "The baker kept a tin of cookies beside the settings of the oven."
+    for i, r in enumerate(rows):
+        r["domain"] = f"s{i // 10}.example"
+        lines = r["text"].split("\n")
+        r["description"] = lines[3]
+        r["text"] = "\n".join(lines[:4] + [told] * (i % 10 == 0) + lines[4:] + ["We use cookies to keep this site running. You may change your choice at any time."] * (i % 10 < 7))
+    own = rows[35]["description"]
+    cases = ["We use cookies to keep this site running.", f"{own} You may change your choice at any time.", f"Home News Log in {own}", f"{own} Home News Log in", told, f"Home of the compass. {own}"]
+    docs = pages(spark, *rows, *[{"title": "The compass", "text": own, "domain": f"c{i}.example", "description": c} for i, c in enumerate(cases)])
+    found = {r["id"] - len(rows) - 1 for r in boilerplate.furniture(docs).where("field = 'description'").collect()}
+    assert found == {0, 1, 2, 3}
+
+
 def test_blocks_are_of_one_kind_unless_it_pays():
     logit, block = np.array([3.0, -0.1, 2.0, -4.0, 5.0]), np.array([0, 0, 0, 1, 1])
     assert boilerplate.decode(logit, block).tolist() == [True, True, True, False, True]
