@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def query_table_of(texts: DataFrame) -> DataFrame:
 
 
 __all__ = ["Query", "correct", "nearest_terms", "parse", "py_stem", "query_table", "query_table_of", "suggest"]
+
+
+def parsed_table_of(texts: DataFrame) -> DataFrame:
+    """The same for a table (qid, q) of queries of any size with operators, which are read as ``parse`` does."""
+    fields = "terms array<string>, required array<string>, phrases array<array<string>>, excluded array<string>, site string"
+
+    def run(batches):
+        for batch in batches:
+            asked = [parse(q) for q in batch["q"]]
+            rows = [(q.terms, q.required, [p for _, p in q.phrases], [t for _, t in q.excluded], q.site) for q in asked]
+            out = pd.DataFrame(rows, columns=["terms", "required", "phrases", "excluded", "site"])
+            out.insert(0, "qid", batch["qid"].to_numpy())
+            yield out
+
+    return texts.select("qid", "q").mapInPandas(run, f"qid {texts.schema['qid'].dataType.simpleString()}, {fields}")

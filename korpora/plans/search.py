@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpora.functions.text import STEMMED_STOPWORDS, sql_stem, sql_words
 from korpora.operators import explain, query, rank
 from korpora.operators import graph as graph_ops
+from korpora.operators.index import Index
 from korpora.plans.corpus import EDGES, NOW, POSTINGS, authority, index, now
 from korpora.plans.text_index import PAGERANK
+from korpora.session import materialize
 from korpora.sources.tables import table
 
 #: The queries that the catalogue answers; operators, stopwords, repeats and unknown words among them.
@@ -130,6 +132,25 @@ def batch_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return rank.diversify(scored).where("place <= 10").select("qid", "place", "doc_id", "score")
 
 
+def answered(searches: DataFrame, index: Index, authority: DataFrame, at: Column, first: int = 10) -> DataFrame:
+    """(search_id, place, doc_id, score): the first hits of every search (search_id, q), operators included.
+
+    Equal queries are answered once. A search that is there twice counts once;
+    one without a hit gives no row.
+    """
+    asked = searches.select("search_id", "q").where("search_id IS NOT NULL AND trim(q) <> ''").distinct()
+    distinct = materialize(query.parsed_table_of(asked.groupBy("q").agg(F.min("search_id").alias("qid"))), "asked")
+    scored = rank.score(distinct, index, authority, at).withColumn("score", F.round("score", 4))
+    hits = rank.diversify(scored).where(F.col("place") <= first).select("qid", "place", "doc_id", "score")
+    by_query = asked.select("search_id", F.min("search_id").over(W.partitionBy("q")).alias("qid"))
+    return by_query.join(hits, "qid").select("search_id", "place", "doc_id", "score")
+
+
+def batch_search_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every search of the log whose id is divisible by 20, all answered in one plan."""
+    return answered(table(spark, d, "searches").where("search_id % 20 = 0"), index(spark, d), authority(spark, d), now())
+
+
 def explain_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("qid", "doc_id", F.array_join("matched_needed", " ").alias("matched"), F.array_join(F.array_sort(F.array_except("required", "matched_needed")), " ").alias("missing"), F.array_join("in_title", " ").alias("in_title"))
 
@@ -169,7 +190,7 @@ QUERIES = {
     for f in (
         parsed_queries, bm25_topk, bm25f_field_weighted, candidates_soft_and, relaxed_pool, phrase_search, exclude_term, site_filter,
         proximity_factor, freshness_factor, full_score, domain_diversity, search_page_1, search_page_2, suggest_prefix, nearest_term,
-        correct_query, batch_search_topk, explain_coverage, explain_reason_codes, early_hit_bucket, freshness_bucket, score_factors,
+        correct_query, batch_search_topk, batch_search_log, explain_coverage, explain_reason_codes, early_hit_bucket, freshness_bucket, score_factors,
         snippet_window, ranking_manifest,
     )
 }

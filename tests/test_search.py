@@ -149,3 +149,65 @@ def test_engine_and_upsert(spark):
     assert {r["term"] for r in later.postings.where("doc_id = 99").collect()} == {"replac", "kelp"}
     fewer = maintenance.remove(later, spark.createDataFrame([("https://h1.example/1#x",)], "url string"))
     assert fewer.docs.count() == 11 and fewer.terms.where("term = 'lighthous'").first()["df"] == 10
+
+
+def brute_hits(ix, text, first):
+    """The first hits of one query, from the collected index."""
+    import math
+
+    q = query.parse(text)
+    docs, df = {r["id"]: r for r in ix.docs.collect()}, {r["term"]: r["df"] for r in ix.terms.collect()}
+    posts = {(r["term"], r["doc_id"]): r for r in ix.postings.collect()}
+    rank_of = {r["doc_id"]: r["authority"] for r in graph.pagerank(ix.docs, ix.edges, iterations=5).collect()}
+    at = lambda t, d: set(posts[t, d]["pos"]) if (t, d) in posts else set()
+    follow = lambda ts, d: any(all(p + k in at(t, d) for k, t in enumerate(ts)) for p in at(ts[0], d))
+    fit = {}
+    for d, doc in docs.items():
+        if q.site and doc["domain"] != q.site and not doc["domain"].endswith("." + q.site) or any((t, d) in posts for _, t in q.excluded):
+            continue
+        if any((t, d) in posts for t in q.terms) and all(follow(p, d) for _, p in q.phrases):
+            fit[d] = sum((t, d) in posts for t in q.required)
+    enough = max(1, math.ceil(0.6 * len(q.required) - 1e-9))
+    strict = [d for d in fit if fit[d] >= enough]
+    mean, scored = sum(r["len"] for r in docs.values()) / len(docs), []
+    for d in strict if len(strict) >= 5 else [d for d in fit if fit[d] >= 1]:
+        bm25 = sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * posts[t, d]["w"] / (posts[t, d]["w"] + 1.2 * (0.25 + 0.75 * docs[d]["len"] / mean)) for t in q.unique if (t, d) in posts)
+        pairs = [follow([a, b], d) for a, b in zip(q.terms, q.terms[1:])]
+        fresh = 1 + 0.05 * math.exp(-(datetime.datetime.fromisoformat(NOW) - docs[d]["fetched_at"]).total_seconds() / 86400 / 365)
+        scored.append((-round(bm25 * (1 + 0.35 * rank_of.get(d, 0)) * (1 + 0.2 * sum(pairs) / max(1, len(pairs))) * fresh, 4), str(d), d))
+    seen, placed = {}, []
+    for s, name, d in sorted(scored):
+        seen[docs[d]["domain"]] = seen.get(docs[d]["domain"], 0) + 1
+        placed.append((seen[docs[d]["domain"]] > 3, s, name, d))
+    return [(place, x[3], -x[1]) for place, x in enumerate(sorted(placed)[:first], 1)]
+
+
+def test_every_search_of_a_log_is_answered(spark):
+    """More queries than the twenty most frequent, rare and long ones and operators among them, against brute force."""
+    import random
+
+    from korpora.plans import search
+
+    random.seed(5)
+    words = "kelp rope lamp boat shore tide gull sand pier wave mast sail".split()
+    ix = corpus(spark, *[{"title": random.choice(words), "text": " ".join(random.choices(words, k=14)), "host": f"h{i % 4}.example", "links": [f"https://h{(i + 1) % 4}.example/{i + 1}"]} for i in range(24)])
+    texts = [" ".join(random.choices(words, k=k % 4 + 1)) for k in range(26)]
+    texts += [f'"{words[0]} {words[1]}"', "kelp -rope", "lamp site:h1.example", "the unknownword tide", "unknownword", "", None, " ", "kelp", "kelp"]
+    rows = [(i * 20, q) for i, q in enumerate(texts, 1)]
+    log = spark.createDataFrame(rows + rows[:3] + [(None, "kelp")], "search_id bigint, q string")
+    got = {}
+    for r in search.answered(log, ix, graph.pagerank(ix.docs, ix.edges, iterations=5), F.lit(NOW).cast("timestamp")).orderBy("search_id", "place").collect():
+        got.setdefault(r["search_id"], []).append((r["place"], r["doc_id"], r["score"]))
+    want = {i: brute_hits(ix, q, 10) for i, q in rows if q and q.strip()}
+    assert got == {i: [(p, d, pytest.approx(s, abs=2e-4)) for p, d, s in hits] for i, hits in want.items() if hits}
+    assert len(got) > 30 and 20 * (len(texts) - 5) not in got
+
+
+def test_the_batch_covers_the_log(spark, sf_dir):
+    from korpora import plans
+
+    asked = spark.read.parquet(f"{sf_dir}/searches.parquet").where("search_id % 20 = 0 AND trim(q) <> ''")
+    got = plans.queries()["batch_search_log"](spark, sf_dir)
+    lost = asked.join(got, "search_id", "left_anti").selectExpr("search_id AS qid", "q").distinct()
+    without = rank.pool(rank.candidates(query.parsed_table_of(lost), plans.search.index(spark, sf_dir)))
+    assert got.where("search_id % 20 <> 0").count() == 0 and asked.join(got, "search_id").count() > 0 and without.count() == 0
