@@ -137,7 +137,7 @@ def _choices(most: int, overlap: int) -> str:
     # The piece after this one starts ``overlap`` tokens before the cut; that must not be within a character.
     whole = f"(?<!b.{{{overlap}}})" if overlap else ""
     least, half = min(overlap + 1, most), max(min(overlap + 1, most), most // 2)
-    wanted = [(half, c) for c in "PLS"] + [(least, c) for c in "PLS"] + [(half, "C"), (least, "W"), (least, "C"), (least, "j"), (least, "[^b]")]
+    wanted = [(half, c) for c in "PLS"] + [(least, c) for c in "PLS"] + [(half, "C"), (half, "W"), (least, "C"), (least, "W"), (least, "j"), (least, "[^b]")]
     cuts = [f".{{{low - 1},{most - 1}}}{letter}{whole}" for low, letter in wanted]
     return "|".join([f".{{1,{most}}}$", *cuts, f".{{1,{most}}}"])
 
@@ -182,8 +182,8 @@ def split(
     ``overlap`` tokens of the one before, and none has more than ``piece_limit``
     tokens. ``boundary`` is the letter of the cut that ends the piece (see the
     constants above). A break from paragraph to sentence is taken where the
-    limit leaves one, in the later half if it has one there, then clauses and
-    words; only text without any break is cut between characters. Texts within
+    limit leaves one, in the later half if it has one there, then a clause or a
+    word of the later half, then those of the earlier one; only text without any break is cut between characters. Texts within
     the limit, empty and null texts give no rows; repeated rows and null ids
     come out as often as they occur.
     """

@@ -145,6 +145,14 @@ def test_cuts_prefer_stronger_breaks():
     assert [len(p) for p in re.findall(cut_pattern(4, 1), "x" * 10)] == [4, 3, 3]
 
 
+def test_an_early_clause_goes_before_an_early_word():
+    import re
+
+    assert re.findall(cut_pattern(10, 0), "xxCWxxxxxxxxxxx")[0] == "xxC"
+    assert re.findall(cut_pattern(10, 2), "xxCWxxxxxxxxxxx")[0] == "xxC"
+    assert re.findall(cut_pattern(10, 0), "xxCxxxxWxxxxxx")[0] == "xxCxxxxW"
+
+
 def test_splitting_nothing(spark):
     docs, profiles = spark.createDataFrame([], DOCS), spark.createDataFrame([], PROFILES)
     assert split(docs, profiles).count() == 0
