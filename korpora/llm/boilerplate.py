@@ -401,8 +401,17 @@ def furniture(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
 
 
 def main_content(docs: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(id, text, description) of every page: the article's lines, and the description unless it is furniture."""
-    kept = label_lines(docs, sample).where("NOT furniture")
-    lines = kept.where("line_no > 0").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    descriptions = kept.where("line_no = 0").select("id", F.col("line").alias("description"))
-    return docs.select("id").distinct().join(lines, "id", "left").join(descriptions, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "description")
+    """(id, text, description) of every page: its text without the furniture's lines, and the description unless it is furniture.
+
+    All other lines stay as they stood, blank ones and white space included.
+    """
+    no = F.col("line_no")
+    gone = label_lines(docs, sample).where("furniture").groupBy(F.col("id").alias("_id")).agg(F.collect_set(no).alias("gone"))
+    base = docs.select("id", "text", "description").dropDuplicates(["id"])
+    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
+    held = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter(numbered, lambda x: ~F.array_contains(held, x["no"]))
+    description = F.when((F.col("description") != "") & ~F.array_contains(held, F.lit(0)), F.col("description"))
+    return base.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").select(
+        "id", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"), description.alias("description")
+    )

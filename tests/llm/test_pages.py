@@ -190,6 +190,21 @@ def test_furniture_within_descriptions(spark):
     assert found == {0, 1, 2, 3}
 
 
+def test_articles_keep_blank_lines_and_indentation(spark):
+    rows = list(site())
+    own = rows[1]["text"].split("\n")[3]
+    listing = f"{own}\n\n    if x:\n        y = 1\n\n{own}  "
+    docs = pages(spark, *rows, {"text": listing, "domain": "b.example", "description": own}, {"text": None, "domain": "c.example", "description": ""})
+    marked = {(r["id"], r["line_no"]) for r in boilerplate.furniture(docs).where("field = 'text'").collect()}
+    got = {r["id"]: r for r in boilerplate.main_content(docs).collect()}
+    for r in docs.collect():
+        lines = (r["text"] or "").split("\n")
+        assert got[r["id"]]["text"] == "\n".join(line for no, line in enumerate(lines, 1) if (r["id"], no) not in marked)
+    n = len(rows)
+    assert got[n + 1]["text"] == listing and got[n + 1]["description"] == own
+    assert got[n + 2]["text"] == "" and got[n + 2]["description"] is None and got[1]["description"] is None
+
+
 def test_blocks_are_of_one_kind_unless_it_pays():
     logit, block = np.array([3.0, -0.1, 2.0, -4.0, 5.0]), np.array([0, 0, 0, 1, 1])
     assert boilerplate.decode(logit, block).tolist() == [True, True, True, False, True]
