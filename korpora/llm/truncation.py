@@ -110,8 +110,33 @@ def _lines(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     ).select("line", whole.alias("whole"))
 
 
+def _letters(line: Column) -> Column:
+    return F.regexp_replace(F.lower(line), r"\P{L}+", "")
+
+
 def _line_key(line: Column) -> Column:
-    return F.sha2(F.regexp_replace(F.lower(line), r"\P{L}+", ""), 256)
+    return F.sha2(_letters(line), 256)
+
+
+def whole_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line) of the ``wanted`` line keys that the corpus shows to be whole.
+
+    At least ``LINE_VALUES`` values have the line, not cut themselves, and these
+    are not few beside the lines that go on after the same letters. A line
+    without letters shows nothing.
+    """
+    head = 6  # letters by which lines and their beginnings meet
+    forms = lines.select(_letters(F.col("line")).alias("form"), "whole").where("form <> ''")
+    ends = forms.where("whole").groupBy("form").count().where(F.col("count") >= LINE_VALUES).select("form", F.col("count").alias("ends"), F.sha2("form", 256).alias("line"))
+    ends = materialize(ends.join(wanted.select("line").distinct(), "line", "left_semi"), "line_ends")
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("form"), F.lit(head))), lambda n: F.left("form", n))
+    longer = forms.select(F.col("form").alias("other"), F.explode(heads).alias("head"))
+    goes_on = (
+        ends.withColumn("head", F.left("form", F.lit(head))).join(longer, "head").where(F.startswith("other", "form") & (F.length("other") > F.length("form")))
+        .groupBy("line").agg(F.count("*").alias("goes_on"))
+    )
+    rate = F.col("ends") / (F.col("ends") + F.coalesce("goes_on", F.lit(0)))
+    return ends.join(goes_on, "line", "left").where(rate >= OPEN_RATE).select("line")
 
 
 def continuations(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,8 +216,8 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     judged = materialize(judged.where("why IS NULL OR why <> ''").select("id", "field", "why", "keys", "line", "n_tokens"), "judged")
     sure = judged.where("why IS NOT NULL").select("id", "field", "why")
     lines = materialize(_lines(docs, fields), "lines")
-    known = lines.groupBy(_line_key(F.col("line")).alias("line")).count().where(F.col("count") >= LINE_VALUES)
-    left = judged.where("why IS NULL AND n_tokens > 0").join(known, "line", "left_anti")
+    open_ = judged.where("why IS NULL AND n_tokens > 0")
+    left = open_.join(whole_lines(lines, open_), "line", "left_anti")
     keyed = left.select("id", "field", F.posexplode("keys").alias("level", "key"))
     seen = keyed.join(continuations(lines, keyed), "key", "left").groupBy("id", "field").agg(
         *[F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("ends", "goes_on")]

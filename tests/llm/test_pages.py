@@ -232,6 +232,14 @@ def test_truncation(spark):
     assert rates["cut.example", "description"] == pytest.approx(1.0) and rates["whole.example", "text"] == 0
 
 
+def test_whole_lines_are_not_shown_by_cut_ones(spark):
+    rows = [("Read on", False)] * 5 + [("Contact us", True)] * 3 + [("-- 1", True)] * 5 + [("The town", True)] * 3 + [(f"The town of {'x' * k}", True) for k in range(1, 200)] + [("So", True)] * 3 + [("Soon it ends", True)]
+    lines_ = spark.createDataFrame(rows, "line string, whole boolean")
+    wanted = lines_.select(truncation._line_key(F.col("line")).alias("line"), F.col("line").alias("text"))
+    got = truncation.whole_lines(lines_, wanted).join(wanted, "line").select("text").distinct().collect()
+    assert {r["text"] for r in got} == {"Contact us", "So"}
+
+
 def test_truncation_of_odd_rows(spark):
     assert truncation.truncated(odd(spark)).count() >= 0 and truncation.truncated(odd(spark).limit(0)).count() == 0
 
