@@ -6,7 +6,6 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.functions.text import FOLDED_RANGES
 from korpora.llm import boilerplate, distinctive, encode, forms, language, lines, packing, splitting, truncation
 from korpora.session import materialize
 from korpora.sources.tables import table
@@ -89,10 +88,14 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_articles, p4
 
 
 
+# Ranges with compatibility forms of letters.
+_RANGES = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2070, 0x2190), (0x2460, 0x24FF), (0xFB00, 0xFB07), (0xFF00, 0xFFEF), (0x1D400, 0x1D800))
+
+
 def _sql_nfkc(text: str) -> str:
     """NFKC for DuckDB, which has NFC: single compatibility forms by table, the few longer ones with letters one by one."""
     one, to, longer = [], [], []
-    for a, b in FOLDED_RANGES:
+    for a, b in _RANGES:
         for c in map(chr, range(a, b)):
             form = unicodedata.normalize("NFKC", c)
             if form != c and len(form) == 1 and form != "'":
