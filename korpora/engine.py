@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpora.operators import explain, graph, query, rank
-from korpora.operators.index import POSTING_CAP, Index, limited_terms
+from korpora.operators.index import POSTING_CAP, Index, limited_terms, recapped
 from korpora.session import materialize
 
 MAX_PER_PAGE, MAX_PAGE = 50, 100
@@ -34,7 +34,7 @@ class SearchEngine:
     """Searches over one index; authority is computed once."""
 
     def __init__(self, index: Index, cap: int = POSTING_CAP):
-        self.index, self.cap = index, cap
+        self.index = index if index.cap == cap else recapped(index, cap)
         self.authority = materialize(graph.pagerank(index.docs, index.edges), "authority")
         self.inlinks = materialize(graph.inlink_counts(index.docs, index.edges), "inlinks")
         self._answers: dict[tuple, Answer] = {}
@@ -58,14 +58,14 @@ class SearchEngine:
         if correction:
             asked = query.parse(correction)
         queries, at = query.query_table(spark, [asked]), F.lit(now).cast("timestamp")
-        ranked = rank.diversify(rank.score(queries, index, self.authority, at))
-        hits = explain.reasons(rank.page_of(ranked, page, per_page), queries, self.inlinks, at)
+        scored = rank.score(queries, index, self.authority, at)
+        hits = explain.reasons(rank.page_of(scored, page, per_page), queries, self.inlinks, at)
         # Wide columns join the rows of one page alone.
         wide = index.docs.select(F.col("id").alias("doc_id"), "url", "title", explain.snippet_source(F.col("description"), F.col("text")).alias("source"))
         shown = explain.with_snippet(hits.join(wide, "doc_id").withColumn("terms", F.lit(asked.terms)), "source", "terms").orderBy("place")
         rows = [r.asDict(recursive=True) for r in shown.select("place", "doc_id", "url", "domain", "title", "snippet", F.round("score", 4).alias("score"), "matched", "missing", "reasons", "total").collect()]
-        total = rows[0]["total"] if rows else 0 if page == 1 else ranked.count()
-        capped = limited_terms(index.terms, self.cap).where(F.col("term").isin(asked.unique)) if asked.terms else None
+        total = rows[0]["total"] if rows else 0 if page == 1 else scored.count()
+        capped = limited_terms(index.terms, index.cap).where(F.col("term").isin(asked.unique)) if asked.terms else None
         operators = {"phrases": [s for s, _ in asked.phrases], "excluded": [s for s, _ in asked.excluded], "site": asked.site} if asked.has_operators else None
         return Answer(
             text, asked.terms, total, page, per_page, max(1, -(-total // per_page)), correction, [r["term"] for r in capped.collect()] if capped is not None else [], operators,

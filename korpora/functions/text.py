@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,42 +13,30 @@ STOPWORDS = (
     "this to was were what when where which who will with you your"
 ).split()
 
-# Code points that the folding table is built over.
-FOLDED_RANGES = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2070, 0x2190), (0x2460, 0x24FF), (0xFB00, 0xFB07), (0xFF00, 0xFFEF), (0x1D400, 0x1D800))
 WORD = r"[\p{L}\p{N}]+"
+_ASCII = r"^[\x00-\x{7f}]*$"
+_ACCENTS = r"[\x{300}-\x{36f}]+"
 
 
-@lru_cache(maxsize=1)
-def folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(characters, their one-character forms, longer forms): compatibility decomposition without accents."""
-    one, to, longer = [], [], []
-    for a, b in FOLDED_RANGES:
-        for code in range(a, b):
-            c = chr(code)
-            form = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
-            if form != c and len(form) == 1:
-                one.append(c)
-                to.append(form)
-            elif len(form) > 1 and form.isalnum():
-                longer.append((c, form))
-    return "".join(one), "".join(to), tuple(longer)
+def _icu(method: str, text: Column) -> Column:
+    """A normalisation form by the ICU library that Spark ships, so that no text leaves the JVM."""
+    return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(True))
+
+
+def decomposed(text: Column) -> Column:
+    """NFKD of a text; null stays null."""
+    return F.when(text.rlike(_ASCII), text).otherwise(F.when(text.isNotNull(), _icu("decompose", text)))
+
+
+def composed(text: Column) -> Column:
+    """NFKC of a text; null stays null."""
+    return F.when(text.rlike(_ASCII), text).otherwise(F.when(text.isNotNull(), _icu("compose", text)))
 
 
 def normalize(text: Column) -> Column:
-    """Compatibility-decomposed text without accents, in lower case; null becomes ''.
-
-    Letters outside of the folding table's ranges (Hangul among them) stay as
-    they are, which is consistent between index and query.
-    """
-    one, to, longer = folding()
-    out = F.translate(F.coalesce(text, F.lit("")), one, to)
-    # Longer forms are rare: one test spares nearly all texts the replacements.
-    some = "[" + "".join(c for c, _ in longer) + "]"
-    replaced = out
-    for c, form in longer:
-        if c in "ﬀﬁﬂﬃﬄﬅﬆĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ½¼¾№℡™":
-            replaced = F.replace(replaced, F.lit(c), F.lit(form))
-    return F.lower(F.regexp_replace(F.when(out.rlike(some), replaced).otherwise(out), r"[\x{300}-\x{36f}]+", ""))
+    """Compatibility-decomposed text without accents, in lower case; null becomes ''."""
+    held = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(held.rlike(_ASCII), held).otherwise(F.regexp_replace(_icu("decompose", held), _ACCENTS, "")))
 
 
 def tokenize(text: Column) -> Column:
@@ -97,11 +84,8 @@ def stem(word: Column) -> Column:
 
 
 def py_normalize(text: str) -> str:
-    one, to, longer = folding()
-    out = text.translate(dict(zip(map(ord, one), to)))
-    for c, form in longer:
-        out = out.replace(c, form)
-    return "".join(c for c in out if not 0x300 <= ord(c) <= 0x36F).lower()
+    """``normalize`` for the driver."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not 0x300 <= ord(c) <= 0x36F).lower()
 
 
 def py_stem(w: str) -> str:
@@ -144,31 +128,3 @@ def content_terms(terms: Column) -> Column:
     """The terms that are no stopwords, repeats kept; all of them if none is left."""
     content = F.filter(terms, lambda t: ~t.isin(*STEMMED_STOPWORDS))
     return F.when(F.size(content) > 0, content).otherwise(terms)
-
-
-# The same in DuckDB's SQL, for the oracles.
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def sql_words(text: str) -> str:
-    one, to, longer = folding()
-    out = f"translate(coalesce({text}, ''), {_quoted(one)}, {_quoted(to)})"
-    for c, form in longer:
-        if c in "ﬀﬁﬂﬃﬄﬅﬆĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ½¼¾№℡™":
-            out = f"replace({out}, '{c}', '{form}')"
-    return f"regexp_extract_all(lower(regexp_replace({out}, '[\\x{{300}}-\\x{{36f}}]+', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
-
-
-def sql_stem(source: str, word: str = "word", into: str = "term") -> str:
-    """SQL that adds the stem of ``word`` to the rows of ``source``, a stage per subquery."""
-    a = f"""SELECT *, CASE WHEN length({word}) <= 3 THEN {word} WHEN {word} LIKE '%sses' THEN left({word}, length({word}) - 2)
-      WHEN {word} LIKE '%ies' AND length({word}) > 4 THEN left({word}, length({word}) - 3) || 'y'
-      WHEN {word} LIKE '%s' AND NOT regexp_matches({word}, '[sui]s$') THEN left({word}, length({word}) - 1) ELSE {word} END AS s1 FROM ({source})"""
-    b = f"""SELECT *, CASE WHEN length(s1) > 5 AND s1 LIKE '%ing' THEN left(s1, length(s1) - 3)
-      WHEN length(s1) > 4 AND (s1 LIKE '%ed' OR s1 LIKE '%ly') THEN left(s1, length(s1) - 2) ELSE s1 END AS s2 FROM ({a})"""
-    c = f"SELECT *, CASE WHEN length(s2) > 3 AND s2 LIKE '%e' THEN left(s2, length(s2) - 1) ELSE s2 END AS s3 FROM ({b})"
-    return f"""SELECT * EXCLUDE (s1, s2, s3), CASE WHEN length(s3) > 3 AND right(s3, 1) = substr(s3, length(s3) - 1, 1)
-      AND right(s3, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(s3, length(s3) - 1) ELSE s3 END AS {into} FROM ({c})"""

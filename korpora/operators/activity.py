@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korpora.session import materialize
+
 # Limits.
 HISTORY_CAP, RETENTION_DAYS, LIST_DEFAULT = 200, 90, 20
 USAGE_DAYS, FAIR_USE = 7, 2000
@@ -72,27 +73,45 @@ def fair_use_refusals(searches: DataFrame, limit: int = FAIR_USE) -> DataFrame:
     return searches.where("owner IS NOT NULL").select("search_id", "owner", day.alias("day"), F.row_number().over(order).alias("nth")).where(F.col("nth") > limit)
 
 
+def _next_allowed(asked: DataFrame, step: int) -> DataFrame:
+    """(q, t, next): the first search of the query at least ``step`` after each one.
+
+    Times are cut into blocks of ``step``: the next search is found in the block
+    ``step`` later, or else it is the first one of a later block, so that no
+    task holds all searches of a query.
+    """
+    block = F.floor(F.col("x") / step)
+    sought = asked.select("q", "t", (F.col("t") + step).alias("x"), F.lit(None).cast("long").alias("found"))
+    held = asked.select("q", F.lit(None).cast("long").alias("t"), F.col("t").alias("x"), F.col("t").alias("found"))
+    both = held.unionByName(sought).withColumn("block", block)
+    within = W.partitionBy("q", "block").orderBy(F.desc("x"), F.col("found").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("here", F.min("found").over(within)).where("t IS NOT NULL").select("q", "block", "t", "here")
+    later = W.partitionBy("q").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = both.groupBy("q", "block").agg(F.min("found").alias("first")).withColumn("after", F.last("first", ignorenulls=True).over(later))
+    return met.join(blocks.select("q", "block", "after"), ["q", "block"]).select("q", "t", F.coalesce("here", "after").alias("next")).where("next IS NOT NULL")
+
+
 def cooldown_runs(searches: DataFrame, hours: int = COOLDOWN_HOURS) -> DataFrame:
     """(q, run_at) of the searches that would start a discovery run: none of the same query ran in the hours before.
 
-    Whether a search runs depends on the runs before it, so the searches of a
-    query pass through one task in order; only its last run is kept.
+    Each search points to the one that may run next if it does; runs are what
+    the pointers reach from a query's first search. Pointers are doubled, so a
+    query with n runs takes log n joins, and its searches are spread over tasks.
+    Equal times of a query are one.
     """
-    gap = pd.Timedelta(hours=hours)
-
-    def run(batches):
-        last: dict[str, pd.Timestamp] = {}
-        for batch in batches:
-            keep = []
-            for q, at in zip(batch["q"], batch["run_at"]):
-                fires = q not in last or at - last[q] >= gap
-                if fires:
-                    last = {q: at}
-                keep.append(fires)
-            yield batch[keep]
-
-    asked = searches.where("trim(q) <> ''").select(F.lower(F.trim("q")).alias("q"), F.col("searched_at").cast("timestamp").alias("run_at")).where("run_at IS NOT NULL")
-    return asked.repartition("q").sortWithinPartitions("q", "run_at").mapInPandas(run, "q string, run_at timestamp")
+    q = F.lower(F.trim("q"))
+    asked = searches.where("trim(q) <> ''").select(q.alias("q"), F.unix_micros(F.col("searched_at").cast("timestamp")).alias("t")).where("t IS NOT NULL").distinct()
+    asked = materialize(asked, "asked")
+    jump = materialize(_next_allowed(asked, hours * 3_600_000_000), "jumps")
+    runs = materialize(asked.groupBy("q").agg(F.min("t").alias("t")), "runs")
+    while True:
+        ahead = runs.join(jump, ["q", "t"]).select("q", F.col("next").alias("t"))
+        added = materialize(ahead.join(runs, ["q", "t"], "left_anti"), "runs")
+        if added.isEmpty():
+            return runs.select("q", F.timestamp_micros("t").alias("run_at"))
+        runs = materialize(runs.unionByName(added), "runs")
+        further = jump.select("q", F.col("t").alias("next"), F.col("next").alias("far"))
+        jump = materialize(jump.join(further, ["q", "next"]).select("q", "t", F.col("far").alias("next")), "jumps")
 
 
 def thin_searches(searches: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpora.functions.text import stem_all, tokenize
-from korpora.functions.urls import domain, normalize_url
+from korpora.functions.urls import domain, normalize_url, resolve_url
 from korpora.operators.graph import resolved_edges
 from korpora.session import materialize, spread
 
@@ -21,52 +24,86 @@ STORED = {"title": 300, "description": 500, "text": 6000}
 POSTING_CAP = 50_000
 VOCABULARY_CAP = 50_000
 
+#: Slices of the documents of a term that has more postings than the cap.
+SLICES = 16
+
 
 def latest_by_url(docs: DataFrame) -> DataFrame:
     """One row per normalised URL: the last fetched (unknown times first), then the highest id.
 
-    Rows whose URL is null or no http(s) URL are left out, as they can't be added.
+    Rows whose URL is null or no http(s) URL are left out, as they can't be
+    added; ids are unique. URLs and times alone are compared: whole pages move
+    only if the ids that later ones replace are too many to broadcast.
     """
-    order = W.partitionBy("url").orderBy(F.col("fetched_at").desc_nulls_last(), F.col("id").desc())
-    return (
-        docs.withColumn("url", normalize_url(F.col("url"))).where("url IS NOT NULL")
-        .withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    )
+    known = docs.withColumn("url", normalize_url(F.col("url"))).where("url IS NOT NULL")
+    age = F.struct(F.col("fetched_at").isNotNull(), "fetched_at", "id")
+    narrow = known.select("url", "id", age.alias("age"))
+    last = narrow.groupBy("url").agg(F.max("age").alias("last"), F.count("*").alias("n")).where("n > 1").select("url", "last")
+    replaced = narrow.join(last, "url").where("age <> last").select("id")
+    return known.join(materialize(replaced, "replaced"), "id", "left_anti")
 
 
 def store_form(docs: DataFrame) -> DataFrame:
-    """The stored columns: texts cut to their limits, host of the URL, distinct outgoing links up to the limit."""
-    links = F.slice(F.array_distinct(F.filter(F.transform(F.col("links"), normalize_url), lambda u: u.isNotNull() & (u != F.col("url")))), 1, MAX_LINKS)
-    cut = [F.substr(F.coalesce(F.col(c), F.lit("")), F.lit(1), F.lit(n)).alias(c) for c, n in STORED.items()]
+    """The stored columns: texts cut to their limits, host of the URL, distinct outgoing links up to the limit.
+
+    Links are resolved against the page; only what is stored is cut, postings
+    are made of whole texts.
+    """
+    to = F.filter(F.transform("links", lambda raw: resolve_url(raw, F.col("url"))), lambda u: u.isNotNull() & (u != F.col("url")))
+    cut = [F.substr(F.coalesce(F.col(c) if c == "text" else F.trim(c), F.lit("")), F.lit(1), F.lit(n)).alias(c) for c, n in STORED.items()]
     return docs.select(
-        "id", "url", domain(F.col("url")).alias("domain"), *cut, F.coalesce(links, F.array().cast("array<string>")).alias("links"), "lang", "fetched_at"
+        "id", "url", domain(F.col("url")).alias("domain"), *cut, F.coalesce(F.slice(F.array_distinct(to), 1, MAX_LINKS), F.array().cast("array<string>")).alias("links"), "lang", "fetched_at"
     )
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(id, pos, field, term, surface): title, description and text as one stream of positions without gaps."""
-    words = [tokenize(F.col(c)) for c in ("title", "description", "text")]
-    each = docs.select("id", *[w.alias(f"w{k}") for k, w in enumerate(words)])
-    def of_field(k: int):
-        return F.transform(F.col(f"w{k}"), lambda w: F.struct(F.lit(k).alias("field"), w.alias("surface")))
-
-    marked = F.concat(*map(of_field, range(3)))
-    stems = stem_all(F.concat("w0", "w1", "w2"))
-    stream = each.select("id", F.posexplode(F.arrays_zip(marked.alias("m"), stems.alias("term"))).alias("pos", "t"))
-    return stream.select("id", "pos", "t.m.field", "t.term", "t.m.surface")
+def _grouped(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One row per term of each page, from (id, n0, n1, words, terms)."""
+    ids, n0, n1, words, terms = rows.columns
+    sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
+    page = np.repeat(np.arange(rows.num_rows), sizes)
+    pos = np.arange(len(page)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first, second = n0.to_numpy(), n0.to_numpy() + n1.to_numpy()
+    field = (pos >= first[page]).astype(np.int8) + (pos >= second[page])
+    coded = terms.flatten().dictionary_encode()
+    key = page * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(key)))
+    group = np.repeat(np.arange(len(starts)), counts)
+    kept = np.arange(len(key)) - starts[group] < MAX_POSITIONS
+    f = [np.bincount(group, field[order] == k, len(starts)).astype(np.int32) for k in range(3)]
+    at = pa.array(order[starts])
+    ends = np.append(0, np.cumsum(np.minimum(counts, MAX_POSITIONS))).astype(np.int32)
+    weight = sum(x * w for x, w in zip(f, FIELD_WEIGHTS))
+    return pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(coded.indices.take(at)), ids.take(pa.array(page[order[starts]])), pa.array(weight, pa.float64()), *map(pa.array, f),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order][kept].astype(np.int32))), words.flatten().take(at),
+        ],
+        ["term", "doc_id", "w", "f0", "f1", "f2", "pos", "display"],
+    )
 
 
-def postings(stream: DataFrame) -> DataFrame:
-    """(term, doc_id, w, f0, f1, f2, pos, display) of each term of each document.
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, w, f0, f1, f2, pos, display) of each term of each document (id, title, description, text).
 
-    ``pos`` holds the first positions, ``display`` the first surface form.
+    Title, description and text are one stream of positions without gaps;
+    ``pos`` holds the first positions, ``display`` the first surface form. All
+    tokens of a page stand in its row, so they are grouped there, many pages at
+    once, and no token is shuffled.
     """
-    f = [F.sum((F.col("field") == k).cast("int")).cast("int").alias(f"f{k}") for k in range(3)]
-    grouped = stream.groupBy("term", F.col("id").alias("doc_id")).agg(
-        *f, F.slice(F.sort_array(F.collect_list("pos")), 1, MAX_POSITIONS).alias("pos"), F.min_by("surface", "pos").alias("display")
+    fields = docs.select("id", *[tokenize(F.col(c)).alias(f"w{k}") for k, c in enumerate(("title", "description", "text"))])
+    joined = fields.select("id", F.size("w0").alias("n0"), F.size("w1").alias("n1"), F.concat("w0", "w1", "w2").alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                yield _grouped(batch.slice(at, 500))
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return joined.withColumn("terms", stem_all(F.col("words"))).mapInArrow(
+        run, f"term string, doc_id {kind}, w double, f0 int, f1 int, f2 int, pos array<int>, display string"
     )
-    weight = sum((F.col(f"f{k}") * x for k, x in enumerate(FIELD_WEIGHTS)), F.lit(0.0))
-    return grouped.select("term", "doc_id", weight.alias("w"), "f0", "f1", "f2", "pos", "display")
 
 
 def doc_lengths(posts: DataFrame) -> DataFrame:
@@ -86,9 +123,26 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_head(posts: DataFrame, terms: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
+    """Adds ``head``: whether a posting is among the ``cap`` heaviest of its term, ties by document.
+
+    Only terms with more postings than the cap are sorted, in slices of their
+    documents first, so that no task sorts all postings of a term.
+    """
+    posts = posts.drop("head")
+    over = terms.where(F.col("df") > cap).select("term")
+    order = [F.desc("w"), "doc_id"]
+    sliced = W.partitionBy("term", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).orderBy(*order)
+    long = posts.join(over, "term").withColumn("_nth", F.row_number().over(sliced))
+    some = long.where(F.col("_nth") <= cap).withColumn("head", F.row_number().over(W.partitionBy("term").orderBy(*order)) <= cap)
+    rest = long.where(F.col("_nth") > cap).withColumn("head", F.lit(False))
+    short = posts.join(over, "term", "left_anti").withColumn("head", F.lit(True))
+    return short.unionByName(some.unionByName(rest).drop("_nth"))
+
+
 def capped_postings(posts: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
     """The ``cap`` heaviest postings of each term, ties by document."""
-    return posts.withColumn("_nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("w"), "doc_id"))).where(F.col("_nth") <= cap).drop("_nth")
+    return with_head(posts, posts.groupBy("term").agg(F.count("*").alias("df")), cap).where("head").drop("head")
 
 
 def limited_terms(terms: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
@@ -108,24 +162,36 @@ def remove_documents(posts: DataFrame, docs: DataFrame, removed: DataFrame) -> t
 
 @dataclass
 class Index:
-    """Stored tables of one corpus."""
+    """Tables of one corpus; a search weighs at most ``cap`` postings of a term, those marked ``head``."""
 
     docs: DataFrame  # id, url, domain, title, description, text, links, lang, fetched_at, len
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     edges: DataFrame
+    cap: int = POSTING_CAP
 
 
-def build_index(docs: DataFrame) -> Index:
-    """Index a table of crawled pages; every part is stored in the shared folder.
+def clustered(posts: DataFrame) -> DataFrame:
+    """Postings stored in order of term and document, so that a query reads the row groups of its terms alone."""
+    return materialize(posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
 
-    Postings are clustered by term, so that a query reads the row groups of its
-    terms alone.
-    """
-    live = materialize(store_form(latest_by_url(docs)), "live")
-    by_term = postings(tokens(spread(live))).repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-    posts = materialize(by_term, "postings")
-    counted = live.join(doc_lengths(posts).withColumnRenamed("doc_id", "id"), "id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
-    stored = materialize(counted, "docs")
-    return Index(stored, posts, materialize(dictionary(posts), "terms"), corpus_stats(stored), resolved_edges(stored))
+
+def with_lengths(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Stored pages with ``len``, 0 for those without a posting."""
+    return docs.join(doc_lengths(posts).withColumnRenamed("doc_id", "id"), "id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
+
+
+def build_index(docs: DataFrame, cap: int = POSTING_CAP) -> Index:
+    """Index a table of crawled pages; every part is stored in the shared folder."""
+    live = latest_by_url(docs)
+    made = materialize(postings(spread(live.select("id", "title", "description", "text"))), "tokens")
+    terms = materialize(dictionary(made), "terms")
+    posts = clustered(with_head(made, terms, cap))
+    stored = materialize(with_lengths(store_form(live), made), "docs")
+    return Index(stored, posts, terms, corpus_stats(stored), materialize(resolved_edges(stored), "edges"), cap)
+
+
+def recapped(index: Index, cap: int) -> Index:
+    """The same index with another cap on the postings that a search weighs."""
+    return replace(index, postings=clustered(with_head(index.postings, index.terms, cap)), cap=cap)

@@ -5,18 +5,21 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpora.functions.text import STEMMED_STOPWORDS, py_stem, py_tokens, stem_all, tokenize
+from korpora.functions.text import STEMMED_STOPWORDS, WORD, normalize, py_tokens, stem_all
+from korpora.session import materialize
 
 # The operators' syntax.
 _PHRASE = re.compile(r'"([^"]+)"|“([^”]+)”')
 _SITE = re.compile(r"(?:^|\s)site:([a-z0-9.-]+\.[a-z]{2,})", re.I)
 _EXCLUDE = re.compile(r'(?:^|\s)-([^\s"]+)')
 MAX_QUERY = 500
+# The same for the JVM, where white space is to be that of all scripts and case is to be ignored.
+_SITE_J, _EXCLUDE_J = "(?iU)" + _SITE.pattern, "(?U)" + _EXCLUDE.pattern
+_BREAK = "\x01"
 
 
 @dataclass
@@ -121,6 +124,31 @@ def correct(query: Query, terms: DataFrame) -> str | None:
     return None if rewritten.lower() == query.raw.strip().lower() else rewritten
 
 
+def corrections(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(q, corrected) of the different queries (q) that ``correct`` changes, for a table of any size.
+
+    A word of the free text whose stem is not indexed becomes the display form
+    of the nearest term. As the rewritten free text takes the place of the old
+    one in the query, a query that does not hold it letter for letter (operators
+    within, two spaces) stays as it is.
+    """
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.col("q3"), "[\"“”]", " "), r"(?U)\s+", " "))
+    free = (
+        texts.select("q").where("q IS NOT NULL").distinct().withColumn("q1", F.regexp_replace("q", _PHRASE.pattern, " ")).withColumn("q2", F.regexp_replace("q1", _SITE_J, " "))
+        .withColumn("q3", F.regexp_replace("q2", _EXCLUDE_J, " ")).select("q", bare.alias("free")).where(F.contains("q", "free") & (F.col("free") != ""))
+    )
+    words = free.select("q", "free", F.posexplode(F.split("free", " ")).alias("at", "word"))
+    stemmed = words.withColumn("term", F.try_element_at(stem_all(F.regexp_extract_all(normalize(F.col("word")), F.lit(WORD), 0)), F.lit(1)))
+    stems = materialize(stemmed, "words")
+    unknown = stems.select("term").where("term IS NOT NULL").distinct().join(terms.where("df > 0").select("term"), "term", "left_anti")
+    fixes = nearest_terms(unknown, terms).select("term", "display")
+    fixed = stems.join(fixes, "term", "left").groupBy("q", "free").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("display", "word").alias("w")))).alias("ws"), F.count("display").alias("n"))
+    text = F.array_join(F.transform("ws", lambda w: w["w"]), " ")
+    start = F.instr("q", F.col("free"))
+    whole = F.trim(F.concat(F.substr("q", F.lit(1), start - 1), text, F.substr("q", start + F.length("free"))))
+    return fixed.where("n > 0").select("q", whole.alias("corrected")).where(F.lower("corrected") != F.lower(F.trim("q")))
+
+
 def suggest(terms: DataFrame, typed: str, n: int = 8) -> DataFrame:
     """(display, df): up to ``n`` words that continue the last one typed, the most frequent first."""
     words = py_tokens(typed)
@@ -141,29 +169,35 @@ def query_table(spark: SparkSession, queries: list[Query]) -> DataFrame:
 
 
 def query_table_of(texts: DataFrame) -> DataFrame:
-    """The same for a table (qid, q) of plain queries of any size, parsed without Python; operators are not read."""
-    words = stem_all(tokenize(F.col("q")))
+    """The same for a table (qid, q) of queries of any size, read as ``parse`` does but without Python; a null query is an empty one."""
+
+    def removed(text: str, pattern: str) -> Column:
+        return F.regexp_replace(text, pattern, " ")
+
+    def words(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(WORD), 0)
+
+    def normal(parts: Column) -> Column:
+        # One text, so that all parts are normalised in one step.
+        return F.split(normalize(F.array_join(parts, _BREAK)), _BREAK)
+
+    none = F.array().cast("array<string>")
+    split = (
+        texts.select("qid", F.coalesce("q", F.lit("")).alias("q0"))
+        .withColumn("ph", F.regexp_extract_all("q0", F.lit(_PHRASE.pattern), 0)).withColumn("q1", removed("q0", _PHRASE.pattern))
+        .withColumn("sites", F.regexp_extract_all("q1", F.lit(_SITE_J), 1)).withColumn("q2", removed("q1", _SITE_J))
+        .withColumn("ex", F.regexp_extract_all("q2", F.lit(_EXCLUDE_J), 1)).withColumn("q3", removed("q2", _EXCLUDE_J))
+        .select(
+            "qid", F.lower(F.try_element_at("sites", F.lit(-1))).alias("site"), normal(F.col("ph")).alias("ph"), normal(F.col("ex")).alias("ex"), normalize(F.col("q3")).alias("free"),
+        )
+    )
+    read = split.select(
+        "qid", "site", F.filter(F.transform("ph", lambda p: stem_all(words(p))), lambda p: F.size(p) > 0).alias("phrases"),
+        stem_all(F.filter(F.transform("ex", lambda e: F.try_element_at(words(e), F.lit(1))), lambda e: e.isNotNull())).alias("excluded"), stem_all(words(F.col("free"))).alias("free"),
+    ).withColumn("terms", F.concat("free", F.flatten("phrases")))
     unique = F.array_distinct("terms")
     content = F.filter(unique, lambda t: ~t.isin(*STEMMED_STOPWORDS))
-    return texts.select("qid", words.alias("terms")).select(
-        "qid", "terms", F.when(F.size(content) > 0, content).otherwise(unique).alias("required"),
-        F.array().cast("array<array<string>>").alias("phrases"), F.array().cast("array<string>").alias("excluded"), F.lit(None).cast("string").alias("site"),
-    )
-
-
-__all__ = ["Query", "correct", "nearest_terms", "parse", "py_stem", "query_table", "query_table_of", "suggest"]
-
-
-def parsed_table_of(texts: DataFrame) -> DataFrame:
-    """The same for a table (qid, q) of queries of any size with operators, which are read as ``parse`` does."""
-    fields = "terms array<string>, required array<string>, phrases array<array<string>>, excluded array<string>, site string"
+    return read.select("qid", "terms", F.when(F.size(content) > 0, content).otherwise(F.coalesce(unique, none)).alias("required"), "phrases", "excluded", "site")
 
-    def run(batches):
-        for batch in batches:
-            asked = [parse(q) for q in batch["q"]]
-            rows = [(q.terms, q.required, [p for _, p in q.phrases], [t for _, t in q.excluded], q.site) for q in asked]
-            out = pd.DataFrame(rows, columns=["terms", "required", "phrases", "excluded", "site"])
-            out.insert(0, "qid", batch["qid"].to_numpy())
-            yield out
 
-    return texts.select("qid", "q").mapInPandas(run, f"qid {texts.schema['qid'].dataType.simpleString()}, {fields}")
+__all__ = ["Query", "correct", "corrections", "nearest_terms", "parse", "query_table", "query_table_of", "suggest"]

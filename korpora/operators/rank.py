@@ -26,11 +26,12 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def query_postings(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """(qid, term, doc_id, w, f0, f1, pos, needed) of every term of every query."""
+def query_postings(queries: DataFrame, index: Index) -> DataFrame:
+    """(qid, term, idf, needed, doc_id, w, f0, f1, pos) of every term of every query, up to the cap of the index."""
     asked = queries.select("qid", "required", F.explode(F.array_distinct("terms")).alias("term"))
-    asked = asked.select("qid", "term", F.array_contains("required", F.col("term")).alias("needed"))
-    return asked.join(postings.select("term", "doc_id", "w", "f0", "f1", "pos"), "term")
+    known = asked.join(index.terms.select("term", "df"), "term").join(F.broadcast(index.stats.select("n_docs")))  # one row
+    terms = known.select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.array_contains("required", F.col("term")).alias("needed"))
+    return terms.join(index.postings.where("head").select("term", "doc_id", "w", "f0", "f1", "pos"), "term")
 
 
 def has_phrase(places: Column, phrase: Column) -> Column:
@@ -52,31 +53,41 @@ def adjacent_pairs(terms: Column, places: Column) -> Column:
 
 
 def candidates(queries: DataFrame, index: Index) -> DataFrame:
-    """(qid, doc_id, terms, required, phrases, hits, places, n_needed) after the site, excluded words and phrases.
+    """(qid, doc_id, terms, required, phrases, site, hits, n_needed, domain, len, fetched_at) after the site, excluded words and phrases.
 
-    ``hits`` are the matched terms with their weights, ``places`` the positions
-    by term. Exclusion looks at uncapped postings.
+    ``hits`` are the matched terms with their weights and positions. Exclusion
+    looks at uncapped postings.
     """
-    found = query_postings(queries, index.postings)
-    docs = index.docs.select(F.col("id").alias("doc_id"), "domain")
+    found = query_postings(queries, index)
     grouped = found.groupBy("qid", "doc_id").agg(
-        F.collect_list(F.struct("term", "w", "f0", "f1", "needed")).alias("hits"), F.map_from_entries(F.collect_list(F.struct("term", "pos"))).alias("places"),
-        F.sum(F.col("needed").cast("int")).alias("n_needed"),
+        F.collect_list(F.struct("term", "idf", "w", "f0", "f1", "needed", "pos")).alias("hits"), F.sum(F.col("needed").cast("int")).alias("n_needed")
     )
-    joined = grouped.join(queries.drop("excluded"), "qid")
-    placed = joined.join(docs, "doc_id").where(F.col("site").isNull() | of_site(F.col("domain"), F.col("site")))
+    docs = index.docs.select(F.col("id").alias("doc_id"), "domain", "len", "fetched_at")
+    placed = grouped.join(queries.drop("excluded"), "qid").join(docs, "doc_id").where(F.col("site").isNull() | of_site(F.col("domain"), F.col("site")))
     ruled_out = queries.select("qid", F.explode("excluded").alias("term")).join(index.postings.select("term", "doc_id"), "term").select("qid", "doc_id")
     kept = placed.join(ruled_out, ["qid", "doc_id"], "left_anti")
-    return kept.where(F.forall("phrases", lambda p: has_phrase(F.col("places"), p)))
+    return kept.where(F.forall("phrases", lambda p: has_phrase(_places(F.col("hits")), p)))
+
+
+def _places(hits: Column) -> Column:
+    """The positions by term."""
+    return F.map_from_entries(F.transform(hits, lambda h: F.struct(h["term"], h["pos"])))
+
+
+def enough(required: Column) -> Column:
+    """How many of the needed terms a page must have: 60 % of them."""
+    return F.greatest(F.ceil(SOFT_SHARE * F.size(required) - 1e-9), F.lit(1))
 
 
 def pool(cands: DataFrame) -> DataFrame:
-    """Candidates with enough of the needed terms: 60 % of them, or one where that leaves fewer than five."""
-    enough = F.greatest(F.ceil(SOFT_SHARE * F.size("required") - 1e-9), F.lit(1))
-    strict = F.sum((F.col("n_needed") >= enough).cast("int")).over(W.partitionBy("qid"))
-    return cands.withColumn("_strict", strict).where(
-        F.when(F.col("_strict") < RELAX_UNDER, F.col("n_needed") >= 1).otherwise(F.col("n_needed") >= enough)
-    ).drop("_strict")
+    """Candidates with enough of the needed terms, or with one of them where that leaves a query fewer than five.
+
+    The candidates of a query are counted before they move, and the counts join
+    them; no task holds all of a query's candidates.
+    """
+    strict = cands.where(F.col("n_needed") >= enough(F.col("required"))).groupBy("qid").agg(F.count("*").alias("_strict"))
+    relaxed = F.coalesce("_strict", F.lit(0)) < RELAX_UNDER
+    return cands.join(strict, "qid", "left").where(F.col("n_needed") >= F.when(relaxed, 1).otherwise(enough(F.col("required")))).drop("_strict")
 
 
 def score(queries: DataFrame, index: Index, authority: DataFrame, now: Column) -> DataFrame:
@@ -84,25 +95,15 @@ def score(queries: DataFrame, index: Index, authority: DataFrame, now: Column) -
 
     ``authority`` is (doc_id, authority); pages without one count 0.
     """
-    asked = queries.select(F.explode("terms").alias("term")).distinct()
-    known = index.terms.select("term", "df").join(asked, "term", "left_semi")
-    idfs = known.join(F.broadcast(index.stats.select("n_docs"))).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
-    hit = pool(candidates(queries, index))
-    per_query = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).join(idfs, "term").groupBy("qid").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idfs")
-    )
-    docs = index.docs.select(F.col("id").alias("doc_id"), "len", "fetched_at")
-    rows = hit.join(docs, "doc_id").join(per_query, "qid").join(authority, "doc_id", "left").join(F.broadcast(index.stats.select("avg_len")))  # one row
+    rows = pool(candidates(queries, index)).join(authority, "doc_id", "left").join(F.broadcast(index.stats.select("avg_len")))  # one row
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     # In order of terms, so that equal pages get equal sums.
-    bm25 = F.aggregate(
-        F.array_sort("hits"), F.lit(0.0), lambda s, h: s + F.element_at("idfs", h["term"]) * h["w"] / (h["w"] + norm)
-    )
-    pairs = adjacent_pairs(F.col("terms"), F.col("places"))
+    bm25 = F.aggregate(F.array_sort("hits"), F.lit(0.0), lambda s, h: s + h["idf"] * h["w"] / (h["w"] + norm))
     needed = F.filter("hits", lambda h: h["needed"])
     titled = F.array_sort(F.transform(F.filter(needed, lambda h: h["f0"] > 0), lambda h: h["term"]))
     return (
-        rows.withColumn("bm25", bm25).withColumn("pairs", pairs)
+        rows.withColumn("bm25", bm25)
+        .withColumn("pairs", F.when(F.size("terms") > 1, adjacent_pairs(F.col("terms"), _places(F.col("hits")))).otherwise(F.array().cast("array<boolean>")))
         .withColumn("authority_factor", 1 + AUTHORITY * F.coalesce("authority", F.lit(0.0)))
         .withColumn("proximity", F.when(F.size("pairs") > 0, F.size(F.filter("pairs", lambda x: x)) / F.size("pairs")).otherwise(0.0))
         .withColumn("proximity_factor", 1 + PHRASE * F.col("proximity"))
@@ -114,7 +115,7 @@ def score(queries: DataFrame, index: Index, authority: DataFrame, now: Column) -
             F.array_sort(F.transform(needed, lambda h: h["term"])).alias("matched_needed"),
             titled.alias("in_title"),
             F.array_sort(F.array_except(F.transform(F.filter(needed, lambda h: h["f1"] > 0), lambda h: h["term"]), titled)).alias("in_description"),
-            F.array_min(F.transform(needed, lambda h: F.element_at(F.element_at("places", h["term"]), 1))).alias("first_hit"),
+            F.array_min(F.transform(needed, lambda h: F.element_at(h["pos"], 1))).alias("first_hit"),
             F.when(F.array_position("pairs", True) > 0, F.array_position("pairs", True) - 1).alias("first_pair"),
         )
     )
@@ -125,17 +126,21 @@ def by_score() -> list[Column]:
     return [F.desc("score"), F.col("doc_id").cast("string")]
 
 
-def diversify(scored: DataFrame) -> DataFrame:
-    """Adds ``place``: the first three hits of each domain by score, then the others."""
+def diversify(scored: DataFrame, first: int | None = None) -> DataFrame:
+    """Adds ``place``: the first three hits of each domain by score, then the others.
+
+    With ``first`` only so many places of each query come out, and only so many
+    rows of a query leave each task; without it all places are numbered, which
+    puts a query's hits in order in one task.
+    """
     nth = F.row_number().over(W.partitionBy("qid", "domain").orderBy(*by_score()))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.col("_nth") > PER_DOMAIN, *by_score()))
-    return scored.withColumn("_nth", nth).withColumn("place", place).drop("_nth")
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.col("_later"), *by_score()))
+    placed = scored.withColumn("_later", nth > PER_DOMAIN).withColumn("place", place)
+    return (placed if first is None else placed.where(F.col("place") <= first)).drop("_later")
 
 
-def page_of(ranked: DataFrame, page: int = 1, per_page: int = 10) -> DataFrame:
-    """The rows of one page of results, with the total and the number of pages of each query."""
-    total = F.count("*").over(W.partitionBy("qid"))
-    return (
-        ranked.withColumn("total", total).withColumn("total_pages", F.greatest(F.ceil(F.col("total") / per_page), F.lit(1)))
-        .where(F.col("place").between((page - 1) * per_page + 1, page * per_page))
-    )
+def page_of(scored: DataFrame, page: int = 1, per_page: int = 10) -> DataFrame:
+    """The rows of one page of diversified results, with the total and the number of pages of each query."""
+    totals = scored.groupBy("qid").agg(F.count("*").alias("total"))
+    rows = diversify(scored, page * per_page).where(F.col("place") > (page - 1) * per_page)
+    return rows.join(totals, "qid").withColumn("total_pages", F.greatest(F.ceil(F.col("total") / per_page), F.lit(1)))

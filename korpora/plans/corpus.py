@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from korpora.operators import graph
 from korpora.operators.index import Index, build_index
-from korpora.functions.text import sql_stem, sql_words
+from korpora.plans.sql_text import sql_stem, sql_words
 from korpora.session import materialize
 from korpora.sources.tables import table
 
@@ -54,24 +54,25 @@ def sql_url(u: str) -> str:
 
 LIVE = f"""raw AS (SELECT * REPLACE ({sql_url('url')} AS url) FROM docs),
 live AS (
-  SELECT id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain, left(coalesce(title, ''), 300) AS title, left(coalesce(description, ''), 500) AS description,
-    left(coalesce(text, ''), 6000) AS text, links, lang, fetched_at
+  SELECT id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain, title, description, text, links, lang, fetched_at
   FROM raw WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, id DESC) = 1)"""
 
-POSTINGS = (
-    LIVE
-    + f""",
-words AS (SELECT id, list_concat(list_transform(w0, lambda x: {{'field': 0, 'word': x}}), list_transform(w1, lambda x: {{'field': 1, 'word': x}}), list_transform(w2, lambda x: {{'field': 2, 'word': x}})) AS ws
-  FROM (SELECT id, {sql_words('title')} AS w0, {sql_words('description')} AS w1, {sql_words('text')} AS w2 FROM live)),
+def sql_postings(source: str) -> str:
+    """CTEs ``words``, ``stream``, ``posts`` and ``wposts`` of whole texts from ``source`` (id, title, description, text)."""
+    return f"""words AS (SELECT id, list_concat(list_transform(w0, lambda x: {{'field': 0, 'word': x}}), list_transform(w1, lambda x: {{'field': 1, 'word': x}}), list_transform(w2, lambda x: {{'field': 2, 'word': x}})) AS ws
+  FROM (SELECT id, {sql_words('title')} AS w0, {sql_words('description')} AS w1, {sql_words('text')} AS w2 FROM {source})),
 stream AS (SELECT * FROM ({sql_stem("SELECT id, u.field AS field, u.word AS word, pos FROM (SELECT id, unnest(ws) AS u, unnest(range(len(ws))) AS pos FROM words)")})),
 posts AS (SELECT term, id AS doc_id, count(*) FILTER (field = 0) AS f0, count(*) FILTER (field = 1) AS f1, count(*) FILTER (field = 2) AS f2,
   list_sort(list(pos))[1:24] AS pos, arg_min(word, pos) AS display FROM stream GROUP BY term, id),
-wposts AS (SELECT *, 3.0 * f0 + 1.5 * f1 + f2 AS w FROM posts),
+wposts AS (SELECT *, 3.0 * f0 + 1.5 * f1 + f2 AS w FROM posts)"""
+
+
+POSTINGS = f"""{LIVE},
+{sql_postings('live')},
 lens AS (SELECT doc_id, sum(f0 + f1 + f2) AS len FROM posts GROUP BY doc_id),
 ldocs AS (SELECT live.*, coalesce(len, 0) AS len FROM live LEFT JOIN lens ON id = doc_id),
 dict AS (SELECT term, arg_min(display, doc_id) AS display, count(*) AS df FROM posts GROUP BY term),
 stats AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM ldocs)"""
-)
 
 EDGES = """edges AS (SELECT DISTINCT l.id AS src, d.id AS dst FROM (SELECT id, unnest(norm) AS url FROM (
   SELECT id, list_distinct(list_filter(list_transform(links, lambda u: """ + sql_url("u") + """), lambda u: u IS NOT NULL)) AS norm FROM live)) l

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpora.functions.text import STEMMED_STOPWORDS, sql_stem, sql_words
+from korpora.functions.text import STEMMED_STOPWORDS, stem_all, tokenize
 from korpora.operators import explain, query, rank
 from korpora.operators import graph as graph_ops
-from korpora.operators.index import Index
+from korpora.operators.index import Index, limited_terms, recapped
 from korpora.plans.corpus import EDGES, NOW, POSTINGS, authority, index, now
+from korpora.plans.sql_text import sql_stem, sql_words
 from korpora.plans.text_index import PAGERANK
 from korpora.session import materialize
 from korpora.sources.tables import table
@@ -92,11 +93,11 @@ def _rounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def domain_diversity(spark: SparkSession, d: str) -> DataFrame:
-    return rank.diversify(_rounded(spark, d)).where("place <= 30").select("qid", "place", "doc_id")
+    return rank.diversify(_rounded(spark, d)).select("qid", "place", "doc_id")
 
 
 def _page(spark: SparkSession, d: str, page: int) -> DataFrame:
-    return rank.page_of(rank.diversify(_rounded(spark, d)), page).select("qid", "place", "doc_id", "score", "total", "total_pages")
+    return rank.page_of(_rounded(spark, d), page).select("qid", "place", "doc_id", "score", "total", "total_pages")
 
 
 def search_page_1(spark: SparkSession, d: str) -> DataFrame:
@@ -113,23 +114,15 @@ def suggest_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_term(spark: SparkSession, d: str) -> DataFrame:
     terms = index(spark, d).terms
-    words = F.explode(query.stem_all(query.tokenize(F.col("q")))).alias("term")
+    words = F.explode(stem_all(tokenize(F.col("q")))).alias("term")
     unknown = table(spark, d, "searches").select(words).distinct().join(terms, "term", "left_anti")
     return query.nearest_terms(unknown, terms).select("term", "near", F.col("distance").cast("bigint").alias("distance"), "df")
 
 
 def correct_query(spark: SparkSession, d: str) -> DataFrame:
-    terms = index(spark, d).terms
-    rows = [(t, query.correct(query.parse(t), terms)) for t in ("lighthuose", "telescpoe compass", "old lighthouse", "beehve -compass")]
-    return spark.createDataFrame(rows, "q string, corrected string")
-
-
-def batch_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty most frequent queries of the log, all answered in one plan."""
-    popular = table(spark, d, "searches").where("trim(q) <> ''").groupBy("q").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "q").limit(20)
-    numbered = popular.withColumn("qid", F.row_number().over(W.orderBy(F.desc("n"), "q"))).select("qid", "q")  # 20 rows
-    scored = rank.score(query.query_table_of(numbered), index(spark, d), authority(spark, d), now()).withColumn("score", F.round("score", 4))
-    return rank.diversify(scored).where("place <= 10").select("qid", "place", "doc_id", "score")
+    """Every different query of the log that a correction changes."""
+    asked = table(spark, d, "searches").where("trim(q) <> ''").select("q").distinct()
+    return query.corrections(asked, index(spark, d).terms)
 
 
 def answered(searches: DataFrame, index: Index, authority: DataFrame, at: Column, first: int = 10) -> DataFrame:
@@ -139,18 +132,34 @@ def answered(searches: DataFrame, index: Index, authority: DataFrame, at: Column
     one without a hit gives no row.
     """
     asked = searches.select("search_id", "q").where("search_id IS NOT NULL AND trim(q) <> ''").distinct()
-    distinct = materialize(query.parsed_table_of(asked.groupBy("q").agg(F.min("search_id").alias("qid"))), "asked")
-    scored = rank.score(distinct, index, authority, at).withColumn("score", F.round("score", 4))
-    hits = rank.diversify(scored).where(F.col("place") <= first).select("qid", "place", "doc_id", "score")
+    distinct = materialize(query.query_table_of(asked.groupBy("q").agg(F.min("search_id").alias("qid"))), "asked")
+    scored = rank.score(distinct, index, authority, at).select("qid", "doc_id", "domain", F.round("score", 4).alias("score"))
+    hits = rank.diversify(scored, first).select("qid", "place", "doc_id", "score")
     by_query = asked.select("search_id", F.min("search_id").over(W.partitionBy("q")).alias("qid"))
     return by_query.join(hits, "qid").select("search_id", "place", "doc_id", "score")
 
 
-def batch_search_log(spark: SparkSession, d: str) -> DataFrame:
+def batch_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every search of the log whose id is divisible by 20, all answered in one plan."""
     return answered(table(spark, d, "searches").where("search_id % 20 = 0"), index(spark, d), authority(spark, d), now())
 
 
+#: A cap that binds at every size of the test tables.
+SMALL_CAP = 12
+
+
+def search_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Scores where a search weighs only so many pages of a term."""
+    scored = rank.score(_asked(spark), recapped(index(spark, d), SMALL_CAP), authority(spark, d), now())
+    return scored.select("qid", "doc_id", F.round("score", 4).alias("score"))
+
+
+def search_limited(spark: SparkSession, d: str) -> DataFrame:
+    """What the capped searches have to report: their terms that stand on more pages than they weigh."""
+    terms = _asked(spark).select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    return terms.join(limited_terms(index(spark, d).terms, SMALL_CAP), "term").select("qid", "term", "df")
+
+
 def explain_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("qid", "doc_id", F.array_join("matched_needed", " ").alias("matched"), F.array_join(F.array_sort(F.array_except("required", "matched_needed")), " ").alias("missing"), F.array_join("in_title", " ").alias("in_title"))
 
@@ -171,11 +180,12 @@ def explain_reason_codes(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
     links = graph_ops.inlink_counts(i.docs, i.edges)
     told = explain.reasons(_scored(spark, d), _asked(spark), links, now())
-    return told.select("qid", "doc_id", F.array_join(F.transform("reasons", lambda r: r["code"]), " ").alias("codes"))
+    each = F.transform("reasons", lambda r: F.concat(r["code"], F.lit("("), F.array_join(r["args"], "|"), F.lit(")")))
+    return told.select("qid", "doc_id", F.array_join(each, " ").alias("codes"))
 
 
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
-    page = rank.page_of(rank.diversify(_rounded(spark, d)), 1, 10).select("qid", "place", "doc_id")
+    page = rank.page_of(_rounded(spark, d), 1, 10).select("qid", "place", "doc_id")
     docs = index(spark, d).docs.select(F.col("id").alias("doc_id"), explain.snippet_source(F.col("description"), F.col("text")).alias("source"))
     rows = page.join(docs, "doc_id").join(_asked(spark).select("qid", "terms"), "qid")
     return explain.with_snippet(rows, "source", "terms").select("qid", "place", "doc_id", "snippet")
@@ -190,7 +200,7 @@ QUERIES = {
     for f in (
         parsed_queries, bm25_topk, bm25f_field_weighted, candidates_soft_and, relaxed_pool, phrase_search, exclude_term, site_filter,
         proximity_factor, freshness_factor, full_score, domain_diversity, search_page_1, search_page_2, suggest_prefix, nearest_term,
-        correct_query, batch_search_topk, batch_search_log, explain_coverage, explain_reason_codes, early_hit_bucket, freshness_bucket, score_factors,
+        correct_query, batch_search_topk, search_capped, search_limited, explain_coverage, explain_reason_codes, early_hit_bucket, freshness_bucket, score_factors,
         snippet_window, ranking_manifest,
     )
 }
@@ -208,39 +218,49 @@ def _asked_sql() -> str:
     return f"asked(qid, terms, required, phrases, excluded, site) AS (VALUES {', '.join(rows)})"
 
 
-_BATCH = f"""popular AS (SELECT q, count(*) AS n FROM searches WHERE trim(q) <> '' GROUP BY q ORDER BY n DESC, q LIMIT 20),
-nq AS (SELECT row_number() OVER (ORDER BY n DESC, q) AS qid, q FROM popular),
-qw AS ({sql_stem(f"SELECT qid, unnest({sql_words('q')}) AS word, generate_subscripts({sql_words('q')}, 1) AS nth FROM nq")}),
-ql AS (SELECT qid, list(term ORDER BY nth) AS terms FROM qw GROUP BY qid),
-qu AS (SELECT qid, terms, list_distinct(terms) AS u, list_filter(list_distinct(terms), lambda x: NOT list_contains({_list(STEMMED_STOPWORDS)}, x)) AS cont FROM ql),
-asked AS (SELECT qid, terms, CASE WHEN len(cont) > 0 THEN cont ELSE u END AS required, []::VARCHAR[][] AS phrases, []::VARCHAR[] AS excluded, NULL::VARCHAR AS site FROM qu)"""
+_PH, _SITE, _EX = '"([^"]+)"|“([^”]+)”', r"(?i)(?:^|\s)site:([a-z0-9.-]+\.[a-z]{2,})", r'(?:^|\s)-([^\s"]+)'
+_BATCH = f"""sq AS (SELECT DISTINCT search_id, q FROM searches WHERE search_id % 20 = 0 AND trim(q) <> ''),
+nq AS (SELECT q, min(search_id) AS qid FROM sq GROUP BY q),
+c1 AS (SELECT qid, regexp_extract_all(q, '{_PH}', 0) AS ph, regexp_replace(q, '{_PH}', ' ', 'g') AS q1 FROM nq),
+c2 AS (SELECT qid, ph, lower(regexp_extract_all(q1, '{_SITE}', 1)[-1]) AS site, regexp_replace(q1, '{_SITE}', ' ', 'g') AS q2 FROM c1),
+c3 AS (SELECT qid, ph, site, regexp_extract_all(q2, '{_EX}', 1) AS ex, regexp_replace(q2, '{_EX}', ' ', 'g') AS q3 FROM c2),
+pieces AS (SELECT qid, 0 AS part, q3 AS t FROM c3 UNION ALL SELECT qid, part, ph[part] FROM (SELECT qid, ph, unnest(range(1, len(ph) + 1)) AS part FROM c3)
+  UNION ALL SELECT qid, -part, ex[part] FROM (SELECT qid, ex, unnest(range(1, len(ex) + 1)) AS part FROM c3)),
+qw AS ({sql_stem(f"SELECT qid, part, unnest({sql_words('t')}) AS word, generate_subscripts({sql_words('t')}, 1) AS nth FROM pieces")}),
+ql AS (SELECT qid, part, list(term ORDER BY nth) AS ts FROM qw GROUP BY qid, part),
+qx AS (SELECT c3.qid, c3.site, coalesce((SELECT flatten(list(ts ORDER BY part)) FROM ql WHERE ql.qid = c3.qid AND part >= 0), []) AS terms,
+  coalesce((SELECT list(ts ORDER BY part) FROM ql WHERE ql.qid = c3.qid AND part > 0), []) AS phrases, coalesce((SELECT list(ts[1]) FROM ql WHERE ql.qid = c3.qid AND part < 0), []) AS excluded FROM c3),
+qu AS (SELECT *, list_distinct(terms) AS u, list_filter(list_distinct(terms), lambda x: NOT list_contains({_list(STEMMED_STOPWORDS)}, x)) AS cont FROM qx),
+asked AS MATERIALIZED (SELECT qid, terms, CASE WHEN len(cont) > 0 THEN cont ELSE u END AS required, phrases, excluded, site FROM qu)"""
 
 _CORE = """
 qt AS (SELECT DISTINCT qid, unnest(terms) AS term FROM asked),
-cand AS (SELECT a.qid, p.doc_id, count(*) FILTER (list_contains(a.required, p.term)) AS n_matched FROM asked a JOIN qt ON qt.qid = a.qid JOIN wposts p ON p.term = qt.term GROUP BY a.qid, p.doc_id),
-kept AS (SELECT c.qid, c.doc_id, c.n_matched, a.required, a.terms, a.phrases FROM cand c JOIN asked a USING (qid) JOIN ldocs d ON d.id = c.doc_id
-  WHERE (a.site IS NULL OR d.domain = a.site OR d.domain LIKE '%.' || a.site)
-  AND NOT EXISTS (SELECT 1 FROM wposts x WHERE x.doc_id = c.doc_id AND list_contains(a.excluded, x.term))
-  AND (len(a.phrases) = 0 OR EXISTS (SELECT 1 FROM wposts x, wposts y WHERE x.doc_id = c.doc_id AND y.doc_id = c.doc_id AND x.term = a.phrases[1][1] AND y.term = a.phrases[1][2]
-    AND list_has_any(list_transform(x.pos, lambda v: v + 1), y.pos)))),
+pt AS (SELECT qid, k, unnest(p) AS term, unnest(range(len(p))) AS i, len(p) AS n FROM (SELECT qid, k, phrases[k] AS p FROM (SELECT qid, phrases, unnest(range(1, len(phrases) + 1)) AS k FROM asked))),
+said AS (SELECT qid, doc_id, count(*) AS n FROM (SELECT DISTINCT qid, k, doc_id FROM (
+  SELECT pt.qid, pt.k, x.doc_id, x.at - pt.i AS start, pt.i, pt.n FROM pt JOIN (SELECT term, doc_id, unnest(pos) AS at FROM hposts) x ON x.term = pt.term) GROUP BY qid, k, doc_id, start, n HAVING count(DISTINCT i) = n) GROUP BY qid, doc_id),
+banned AS (SELECT DISTINCT qid, doc_id FROM (SELECT qid, unnest(excluded) AS term FROM asked) JOIN wposts USING (term)),
+cand AS (SELECT a.qid, p.doc_id, count(*) FILTER (list_contains(a.required, p.term)) AS n_matched FROM asked a JOIN qt ON qt.qid = a.qid JOIN hposts p ON p.term = qt.term GROUP BY a.qid, p.doc_id),
+kept AS (SELECT c.qid, c.doc_id, c.n_matched, a.required, a.terms, a.phrases FROM cand c JOIN asked a USING (qid) JOIN ldocs d ON d.id = c.doc_id LEFT JOIN said s ON s.qid = c.qid AND s.doc_id = c.doc_id
+  WHERE (a.site IS NULL OR d.domain = a.site OR d.domain LIKE '%.' || a.site) AND coalesce(s.n, 0) = len(a.phrases) AND (c.qid, c.doc_id) NOT IN (SELECT (qid, doc_id) FROM banned)),
 strict AS (SELECT *, greatest(1, ceil(0.6 * len(required) - 1e-9)) AS enough FROM kept),
 pooled AS (SELECT * FROM (SELECT *, count(*) FILTER (n_matched >= enough) OVER (PARTITION BY qid) AS n_strict FROM strict) WHERE CASE WHEN n_strict < 5 THEN n_matched >= 1 ELSE n_matched >= enough END),
 bm AS (SELECT o.qid, o.doc_id, sum(ln(1 + (s.n_docs - t.df + 0.5) / (t.df + 0.5)) * p.w / (p.w + 1.2 * (0.25 + 0.75 * d.len / s.avg_len))) AS bm25,
   min(p.pos[1]) FILTER (list_contains(o.required, p.term)) AS first_hit,
   list_sort(list(p.term) FILTER (list_contains(o.required, p.term))) AS matched, coalesce(list_sort(list(p.term) FILTER (list_contains(o.required, p.term) AND p.f0 > 0)), []) AS in_title,
   coalesce(list_sort(list(p.term) FILTER (list_contains(o.required, p.term) AND p.f0 = 0 AND p.f1 > 0)), []) AS in_description
-  FROM pooled o JOIN qt ON qt.qid = o.qid JOIN wposts p ON p.term = qt.term AND p.doc_id = o.doc_id JOIN dict t ON t.term = p.term JOIN ldocs d ON d.id = o.doc_id CROSS JOIN stats s GROUP BY o.qid, o.doc_id),
+  FROM pooled o JOIN qt ON qt.qid = o.qid JOIN hposts p ON p.term = qt.term AND p.doc_id = o.doc_id JOIN dict t ON t.term = p.term JOIN ldocs d ON d.id = o.doc_id CROSS JOIN stats s GROUP BY o.qid, o.doc_id),
 qpairs AS (SELECT qid, i, terms[i] AS a, terms[i + 1] AS b FROM (SELECT qid, terms, unnest(range(1, len(terms))) AS i FROM asked)),
-prox AS (SELECT o.qid, o.doc_id, count(x.i) * 1.0 / greatest(1, (SELECT count(*) FROM qpairs q WHERE q.qid = o.qid)) AS proximity, min(x.i) - 1 AS first_pair FROM pooled o LEFT JOIN (
-  SELECT q.qid, q.i, pa.doc_id FROM qpairs q JOIN wposts pa ON pa.term = q.a JOIN wposts pb ON pb.term = q.b AND pb.doc_id = pa.doc_id WHERE list_has_any(list_transform(pa.pos, lambda v: v + 1), pb.pos)) x
+prox AS (SELECT o.qid, o.doc_id, count(x.i) * 1.0 / greatest(1, any_value(len(o.terms)) - 1) AS proximity, min(x.i) - 1 AS first_pair FROM pooled o LEFT JOIN (
+  SELECT q.qid, q.i, pa.doc_id FROM qpairs q JOIN hposts pa ON pa.term = q.a JOIN hposts pb ON pb.term = q.b AND pb.doc_id = pa.doc_id WHERE list_has_any(list_transform(pa.pos, lambda v: v + 1), pb.pos)) x
   ON x.qid = o.qid AND x.doc_id = o.doc_id GROUP BY o.qid, o.doc_id),
 """
 _FRESH = f"CASE WHEN fetched_at IS NULL THEN 1.0 ELSE 1 + 0.05 * exp(-greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(fetched_at)) / 86400000000.0 / 365) END"
 
 
-def _with(asked: str, recursive: bool = False) -> str:
+def _with(asked: str, cap: int = 50_000) -> str:
     parts = POSTINGS.replace("wposts AS (", "wposts AS MATERIALIZED (").replace("stream AS (", "stream AS MATERIALIZED (").replace("live AS (", "live AS MATERIALIZED (", 1)
-    return f"""WITH {asked}, {parts}, {EDGES.replace('edges AS', 'edges AS MATERIALIZED')}, {PAGERANK},{_CORE}
+    heads = f"hposts AS MATERIALIZED (SELECT * FROM wposts QUALIFY row_number() OVER (PARTITION BY term ORDER BY w DESC, doc_id) <= {cap})"
+    return f"""WITH {asked}, {parts}, {heads}, {EDGES.replace('edges AS', 'edges AS MATERIALIZED')}, {PAGERANK},{_CORE}
 full_ AS (SELECT b.*, x.proximity, x.first_pair, 1 + 0.35 * u.authority AS authority_factor, 1 + 0.2 * x.proximity AS proximity_factor, {_FRESH} AS fresh_factor, d.domain, d.fetched_at, o.required, o.phrases
   FROM bm b JOIN prox x USING (qid, doc_id) JOIN pooled o USING (qid, doc_id) JOIN ldocs d ON d.id = b.doc_id JOIN authority u ON u.doc_id = b.doc_id),
 scored AS (SELECT *, bm25 * authority_factor * proximity_factor * fresh_factor AS score FROM full_),
@@ -265,6 +285,8 @@ def _parsed_sql() -> str:
 
 
 _ONE = "WITH " + POSTINGS
+_NEAR = "n AS (SELECT w.term, v.term AS near, v.display, levenshtein(w.term, v.term) AS distance, v.df FROM w JOIN dict v ON w.term[1] = v.term[1] AND abs(len(w.term) - len(v.term)) <= 2)"
+_CLOSE = "distance <= CASE WHEN len(term) <= 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, near) = 1"
 _HAS = "SELECT DISTINCT doc_id FROM posts WHERE term = "
 SQL = {
     "parsed_queries": _parsed_sql(),
@@ -278,22 +300,45 @@ SQL = {
     "proximity_factor": _S + "SELECT qid, doc_id, round(1 + 0.2 * proximity, 4) AS proximity_factor FROM prox",
     "freshness_factor": _ONE + f" SELECT id AS doc_id, round({_FRESH}, 6) AS fresh_factor FROM live",
     "full_score": _S + "SELECT qid, doc_id, score FROM shown",
-    "domain_diversity": _S + "SELECT qid, CAST(place AS INTEGER) AS place, doc_id FROM placed WHERE place <= 30",
+    "domain_diversity": _S + "SELECT qid, CAST(place AS INTEGER) AS place, doc_id FROM placed",
     "search_page_1": _page_sql(1),
     "search_page_2": _page_sql(2),
     "suggest_prefix": _ONE + " SELECT display, df FROM (SELECT * FROM dict WHERE term LIKE 'li%' QUALIFY row_number() OVER (PARTITION BY display ORDER BY df DESC, term) = 1) ORDER BY df DESC, term LIMIT 8",
-    "nearest_term": _ONE + f""", w AS (SELECT DISTINCT term FROM ({sql_stem(f"SELECT unnest({sql_words('q')}) AS word FROM searches")}) WHERE term NOT IN (SELECT term FROM dict)),
-      n AS (SELECT w.term, v.term AS near, levenshtein(w.term, v.term) AS distance, v.df FROM w JOIN dict v ON w.term[1] = v.term[1] AND abs(len(w.term) - len(v.term)) <= 2)
-      SELECT term, near, distance, df FROM n WHERE distance <= CASE WHEN len(term) <= 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, near) = 1""",
-    "batch_search_topk": _with(_BATCH) + "SELECT CAST(qid AS INTEGER) AS qid, CAST(place AS INTEGER) AS place, doc_id, score FROM placed WHERE place <= 10",
+    "nearest_term": _ONE + f""", w AS (SELECT DISTINCT term FROM ({sql_stem(f"SELECT unnest({sql_words('q')}) AS word FROM searches")}) WHERE term NOT IN (SELECT term FROM dict)), {_NEAR}
+      SELECT term, near, distance, df FROM n WHERE {_CLOSE}""",
+    "batch_search_topk": _with(_BATCH) + "SELECT search_id, CAST(place AS INTEGER) AS place, doc_id, score FROM placed JOIN nq USING (qid) JOIN sq USING (q) WHERE place <= 10",
+    "search_capped": _with(_asked_sql(), SMALL_CAP) + "SELECT qid, doc_id, score FROM shown",
+    "search_limited": _S + f"SELECT qid, term, df FROM qt JOIN dict USING (term) WHERE df >= {SMALL_CAP}",
     "explain_coverage": _S + "SELECT qid, doc_id, array_to_string(matched, ' ') AS matched, array_to_string(list_sort(list_filter(required, lambda x: NOT list_contains(matched, x))), ' ') AS missing, array_to_string(in_title, ' ') AS in_title FROM full_",
     "explain_reason_codes": _S + f"""SELECT qid, doc_id, array_to_string(list_filter([
-      CASE WHEN len(matched) = len(required) THEN CASE WHEN len(required) = 1 THEN 'matches_word' ELSE 'matches_all' END ELSE 'matches_some' END,
-      CASE WHEN len(in_title) > 0 THEN 'in_title' WHEN len(in_description) > 0 THEN 'in_description' END,
-      CASE WHEN len(phrases) > 0 THEN 'phrase' END, CASE WHEN (SELECT site FROM asked a WHERE a.qid = f.qid) IS NOT NULL THEN 'site' END,
-      CASE WHEN (SELECT len(excluded) FROM asked a WHERE a.qid = f.qid) > 0 THEN 'excluded' END,
-      CASE WHEN first_pair IS NOT NULL AND len(phrases) = 0 THEN 'adjacent' END, CASE WHEN len(in_title) = 0 THEN {_EARLY} END,
-      CASE WHEN doc_id IN (SELECT dst FROM edges) THEN 'inlinks' END, {_CLASS}], lambda x: x IS NOT NULL), ' ') AS codes FROM full_ f""",
+      CASE WHEN len(matched) = len(required) THEN CASE WHEN len(required) = 1 THEN 'matches_word()' ELSE 'matches_all()' END
+        ELSE 'matches_some(' || array_to_string(list_filter(required, lambda x: NOT list_contains(matched, x)), '|') || ')' END,
+      CASE WHEN len(in_title) > 0 THEN 'in_title(' || array_to_string(in_title[1:3], '|') || ')' WHEN len(in_description) > 0 THEN 'in_description(' || array_to_string(in_description[1:3], '|') || ')' END,
+      CASE WHEN len(f.phrases) > 0 THEN 'phrase(' || array_to_string(list_transform(f.phrases, lambda p: array_to_string(p, ' ')), '|') || ')' END, 'site(' || a.site || ')',
+      CASE WHEN len(a.excluded) > 0 THEN 'excluded(' || array_to_string(a.excluded, '|') || ')' END,
+      CASE WHEN first_pair IS NOT NULL AND len(f.phrases) = 0 THEN 'adjacent(' || CAST(first_pair AS BIGINT) || ')' END, CASE WHEN len(in_title) = 0 THEN {_EARLY} || '()' END,
+      'inlinks(' || i.n || ')', {_CLASS} || '()'], lambda x: x IS NOT NULL), ' ') AS codes
+      FROM full_ f JOIN (SELECT qid, site, excluded FROM asked) a USING (qid) LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = doc_id""",
+    "correct_query": _ONE + f""", c0 AS (SELECT DISTINCT q FROM searches WHERE trim(q) <> ''),
+      c1 AS (SELECT q, regexp_replace(q, '{_PH}', ' ', 'g') AS q1 FROM c0), c2 AS (SELECT q, regexp_replace(q1, '{_SITE}', ' ', 'g') AS q2 FROM c1), c3 AS (SELECT q, regexp_replace(q2, '{_EX}', ' ', 'g') AS q3 FROM c2),
+      cf AS (SELECT * FROM (SELECT q, trim(regexp_replace(regexp_replace(q3, '["“”]', ' ', 'g'), '\\s+', ' ', 'g')) AS free FROM c3) WHERE free <> '' AND contains(q, free)),
+      ct AS ({sql_stem(f"SELECT q, free, k, typed, {sql_words('typed')}[1] AS word FROM (SELECT q, free, unnest(string_split(free, ' ')) AS typed, generate_subscripts(string_split(free, ' '), 1) AS k FROM cf)")}),
+      w AS (SELECT DISTINCT term FROM ct WHERE term IS NOT NULL AND term NOT IN (SELECT term FROM dict)), {_NEAR},
+      near AS (SELECT term, display FROM n WHERE {_CLOSE}),
+      fx AS (SELECT q, free, string_agg(coalesce(display, typed), ' ' ORDER BY k) AS text, count(display) AS n FROM ct LEFT JOIN near USING (term) GROUP BY q, free)
+      SELECT q, trim(left(q, instr(q, free) - 1) || text || substr(q, instr(q, free) + length(free))) AS corrected FROM fx WHERE n > 0 AND lower(corrected) <> lower(trim(q))""",
+    "snippet_window": _S + """, pg AS (SELECT qid, place, doc_id FROM placed WHERE place <= 10),
+      src AS (SELECT pg.*, (SELECT list_distinct(terms) FROM asked a WHERE a.qid = pg.qid) AS ts, left(coalesce(description, ''), 500) AS ds, left(coalesce(text, ''), 6000) AS tx FROM pg JOIN live ON live.id = doc_id),
+      cl AS (SELECT *, trim(regexp_replace(CASE WHEN length(trim(ds)) > 40 THEN trim(ds) || ' — ' || tx WHEN tx <> '' THEN tx ELSE trim(ds) END, '[\\s\\x{a0}]+', ' ', 'g')) AS clean FROM src),
+      parts AS (SELECT qid, place, doc_id, term, unnest(string_split(low, term)) AS part, generate_subscripts(string_split(low, term), 1) AS k, len(string_split(low, term)) AS n
+        FROM (SELECT qid, place, doc_id, lower(clean) AS low, unnest(ts) AS term FROM cl) WHERE length(term) >= 2),
+      offs AS (SELECT qid, place, doc_id, term, k, n, CAST(sum(length(part)) OVER (PARTITION BY qid, doc_id, term ORDER BY k) AS BIGINT) + (k - 1) * length(term) AS p FROM parts),
+      hits AS (SELECT qid, doc_id, list(DISTINCT p) AS hs, list(p) AS every FROM offs WHERE k < n GROUP BY qid, doc_id),
+      best AS (SELECT qid, doc_id, list_sort(list_transform(hs, lambda p: {'n': -len(list_filter(every, lambda q: q >= p AND q < p + 220)), 'p': p}))[1] AS b FROM hits),
+      st AS (SELECT cl.*, greatest(0, b.p - 40) AS start FROM cl LEFT JOIN best USING (qid, doc_id)),
+      sn AS (SELECT *, CASE WHEN start > 0 AND instr(substr(clean, start + 1, 30), ' ') > 0 THEN start + instr(substr(clean, start + 1, 30), ' ') ELSE start END AS begins FROM st)
+      SELECT qid, CAST(place AS INTEGER) AS place, doc_id, CASE WHEN length(clean) <= 220 THEN clean WHEN start IS NULL THEN rtrim(left(clean, 219)) || '…'
+        ELSE CASE WHEN begins > 0 THEN '…' ELSE '' END || rtrim(substr(clean, begins + 1, 220)) || CASE WHEN begins + 220 < length(clean) THEN '…' ELSE '' END END AS snippet FROM sn""",
     "early_hit_bucket": _S + f"SELECT qid, doc_id, {_EARLY} AS early FROM bm",
     "freshness_bucket": _ONE + f" SELECT id AS doc_id, {_CLASS} AS class FROM live",
     "score_factors": _S + "SELECT qid, doc_id, round(authority_factor, 3) AS authority_factor, round(proximity_factor, 3) AS proximity_factor, round(fresh_factor, 3) AS fresh_factor FROM full_",

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpora.functions import html, urls
-from korpora.functions.text import STEMMED_STOPWORDS, content_terms, sql_stem, sql_words, stem_all, tokenize
+from korpora.functions.text import STEMMED_STOPWORDS, content_terms, stem_all, tokenize
 from korpora.operators import graph
 from korpora.operators import index as ix
-from korpora.plans.corpus import EDGES, LIVE, POSTINGS, authority, index, sql_url
+from korpora.plans.corpus import EDGES, LIVE, POSTINGS, authority, index, sql_postings, sql_url
+from korpora.plans.sql_text import sql_stem, sql_words
 from korpora.sources.tables import table
 
 
@@ -52,6 +53,15 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").select("id", F.expr(PAGE).alias("html"))
 
 
+#: A link as a page may write it, by the page's id, and what it means.
+RELATIVE = "CASE pmod(id, 6) WHEN 0 THEN '/home?ref=1' WHEN 1 THEN '?page=2' WHEN 2 THEN '//Other.example/x#top' WHEN 3 THEN 'next.html' WHEN 4 THEN '../up/./here' ELSE 'mailto:a@b.example' END"
+
+
+def links_resolved(spark: SparkSession, d: str) -> DataFrame:
+    rows = ix.latest_by_url(table(spark, d, "docs")).select("id", "url", F.expr(RELATIVE).alias("raw"))
+    return rows.select("id", "raw", urls.resolve_url(F.col("raw"), F.col("url")).alias("link"))
+
+
 def html_title_lang(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("id", html.title(F.col("html")).alias("title"), html.lang(F.col("html")).alias("lang"))
 
@@ -115,6 +125,23 @@ def postings_of_terms(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).postings.where(F.col("term").isin("lighthous", "beehiv", "telescop")).select("term", "doc_id", "w")
 
 
+def _whole_texts(spark: SparkSession, d: str) -> ix.Index:
+    """The index of ``documents``, whose texts go far beyond what is stored of a page."""
+    texts = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.format_string("https://long.example/%d", "doc_id").alias("url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("description"),
+        "text", F.array().cast("array<string>").alias("links"), "lang", "fetched_at",
+    )
+    return ix.build_index(texts)
+
+
+def whole_text_postings(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_texts(spark, d).postings.select("term", "doc_id", "w", F.element_at("pos", 1).cast("bigint").alias("first"))
+
+
+def whole_text_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _whole_texts(spark, d).docs.select(F.col("id").alias("doc_id"), F.length("text").cast("bigint").alias("stored"), "len")
+
+
 def upsert_latest_by_url(spark: SparkSession, d: str) -> DataFrame:
     return ix.latest_by_url(table(spark, d, "docs")).select("url", "id")
 
@@ -159,12 +186,13 @@ QUERIES = {
     for f in (
         tokenize_counts, stem_vocabulary, stopword_content_terms, url_normalize, url_domain, html_title_lang, html_visible_text, html_links,
         html_meta_flags, indexable_pages, postings_weighted, postings_positions, doc_lengths, corpus_stats, document_frequency, term_dictionary,
-        top_vocabulary, postings_capped, postings_limited, postings_of_terms, upsert_latest_by_url, remove_documents, sample_document,
+        top_vocabulary, postings_capped, postings_limited, postings_of_terms, whole_text_postings, whole_text_pages, links_resolved, upsert_latest_by_url, remove_documents, sample_document,
         resolved_edges, inlink_counts, dangling_nodes, pagerank_20, crawl_bfs_depth,
     )
 }
 
 _P = f"WITH {POSTINGS}\n"
+_LONG = f"long AS (SELECT doc_id AS id, '' AS title, NULL::VARCHAR AS description, text FROM documents), {sql_postings('long')}"
 _E = f"WITH {LIVE}, {EDGES}\n"
 _H = f"WITH h AS (SELECT id, {PAGE} AS html FROM docs),\n"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STEMMED_STOPWORDS) + "]"
@@ -222,6 +250,13 @@ SQL = {
     "postings_capped": _P + "SELECT term, doc_id, CAST(w AS DOUBLE) AS w FROM wposts QUALIFY row_number() OVER (PARTITION BY term ORDER BY w DESC, doc_id) <= 50",
     "postings_limited": _P + "SELECT term, df FROM dict WHERE df >= 50",
     "postings_of_terms": _P + "SELECT term, doc_id, CAST(w AS DOUBLE) AS w FROM wposts WHERE term IN ('lighthous', 'beehiv', 'telescop')",
+    "whole_text_postings": f"WITH {_LONG} SELECT term, doc_id, CAST(w AS DOUBLE) AS w, pos[1] AS first FROM wposts",
+    "whole_text_pages": f"WITH {_LONG} SELECT id AS doc_id, least(length(coalesce(text, '')), 6000) AS stored, CAST(coalesce(n, 0) AS BIGINT) AS len FROM long LEFT JOIN (SELECT doc_id, sum(f2) AS n FROM posts GROUP BY doc_id) ON doc_id = id",
+    "links_resolved": f"""WITH {LIVE}, p AS (SELECT id, regexp_extract(url, '^https?://[^/?#]+') AS origin, regexp_replace(url, '[?#].*$', '') AS bare FROM live),
+      f AS (SELECT *, CASE WHEN bare = origin THEN bare || '/' ELSE regexp_replace(bare, '[^/]*$', '') END AS folder FROM p),
+      u AS (SELECT *, CASE WHEN folder = origin || '/' THEN folder ELSE regexp_replace(folder, '[^/]+/$', '') END AS above FROM f)
+      SELECT id, {RELATIVE.replace('pmod(id, 6)', 'id % 6')} AS raw, CASE id % 6 WHEN 0 THEN origin || '/home' WHEN 1 THEN CASE WHEN bare = origin THEN bare || '/' ELSE bare END || '?page=2'
+        WHEN 2 THEN regexp_extract(origin, '^https?:') || '//other.example/x' WHEN 3 THEN folder || 'next.html' WHEN 4 THEN above || 'up/here' END AS link FROM u""",
     "upsert_latest_by_url": f"WITH {LIVE} SELECT url, id FROM live",
     "remove_documents": _P + "SELECT term, count(*) AS df FROM posts WHERE doc_id NOT IN (SELECT id FROM live WHERE domain LIKE 'www.%') GROUP BY term",
     "sample_document": f"WITH {LIVE} SELECT min(id) AS doc_id FROM live",

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from korpora.operators import activity, robots
-from korpora.operators.hotkeys import hot_keys, key_totals
+from korpora.operators.hotkeys import chunk_parts, chunk_states, hot_keys, key_cells, key_totals
 from korpora.sources.tables import read_json_corpus, write_clustered
 from korpora.streaming import jobs
 
@@ -33,6 +33,19 @@ def test_keys_over_many_chunks(spark):
     assert {k: v[0] for k, v in got.items()} == dict(want)
 
 
+def test_chunks_hold_equal_numbers_of_rows(spark):
+    rows = [("hot" if i % 3 else f"t{i}", i % 50, 0.5, 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, POSTINGS).repartition(6)
+    parts = chunk_parts(key_cells(df, pages=False), 64)
+    sizes = [(r["bucket"], r["chunk"], r["n"]) for r in parts.groupBy("bucket", "chunk").agg(F.sum("n").alias("n")).collect()]
+    last = {b: max(c for x, c, _ in sizes if x == b) for b, _, _ in sizes}
+    assert all(n == 64 for b, c, n in sizes if c < last[b]) and sum(n for *_, n in sizes) == 2 * len(rows)
+    held = collections.Counter(r["key_value"] for r in chunk_states(parts).where("key_column = 'term'").collect())
+    assert held["hot"] >= 2000 // 64
+    got = {r["key_value"]: r for r in key_totals(df, 64, pages=False).where("key_column = 'term'").collect()}
+    assert got["hot"]["n_rows"] == 2000 and got["hot"]["chunks"] == held["hot"] and got["hot"]["sum_w"] == 1000.0 and got["hot"]["pages"] is None
+
+
 def test_hot_keys_ignore_extra_columns(spark):
     rows = [("hot", i, 1.0, 0) for i in range(500)] + [(f"t{i}", i, 1.0, 0) for i in range(1000)]
     df = spark.createDataFrame(rows, POSTINGS).withColumn("n", F.lit(1)).withColumn("pid", F.lit(2)).withColumn("bucket", F.lit(3))
@@ -61,6 +74,35 @@ def test_limits_and_cooldown(spark):
     assert sorted(r["run_at"].hour for r in activity.cooldown_runs(df).collect()) == [0, 6, 12]
 
 
+def test_cooldown_equals_going_through_the_log(spark):
+    import datetime
+    import random
+
+    random.seed(7)
+    at = datetime.datetime(2026, 1, 1)
+    rows = [(i, "o", random.choice("ab "), at + datetime.timedelta(minutes=random.choice((1, 30, 360)) * random.randint(0, 200)), 1, 1) for i in range(600)]
+    want, last = set(), {}
+    for _, _, q, t, *_ in sorted(rows, key=lambda r: r[3]):
+        if q.strip() and (q not in last or t - last[q] >= datetime.timedelta(hours=6)):
+            last[q] = t
+            want.add((q, t))
+    got = [(r["q"], r["run_at"].replace(tzinfo=None)) for r in activity.cooldown_runs(spark.createDataFrame(rows, SEARCHES)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_crawl_order(spark):
+    from korpora.operators.graph import crawl_order
+
+    u = lambda k: f"https://{'ab'[k >= 8]}.example/{k}"
+    pages = spark.createDataFrame([(u(k), "skipped" if k == 2 else "error" if k == 3 else "indexed") for k in range(10) if k != 5], "url string, outcome string")
+    links = spark.createDataFrame([(u(a), u(b), i) for i, (a, b) in enumerate([(0, 2), (0, 1), (0, 8), (0, 0), (2, 4), (1, 4), (1, 5), (3, 6), (4, 7)])] + [(u(0), None, 99)], "url string, target string, at int")
+    seeds = spark.createDataFrame([(u(3), 1), (u(0), 0), (u(0), 2), (None, 3)], "url string, at int")
+    run = lambda **k: [(int(r["url"][-1]), r["depth"], r["outcome"]) for r in crawl_order(pages, links, seeds, **k).orderBy("nth").collect()]
+    assert run() == [(0, 0, "indexed"), (3, 0, "error"), (2, 1, "skipped"), (1, 1, "indexed"), (4, 2, "indexed"), (5, 2, "error")]
+    assert run(max_depth=1, same_domain=False) == [(0, 0, "indexed"), (3, 0, "error"), (2, 1, "skipped"), (1, 1, "indexed"), (8, 1, "indexed")]
+    assert run(max_pages=2)[-1] == (1, 1, "indexed") and run(max_pages=1) == [(0, 0, "indexed")] and run(max_pages=0) == []
+
+
 def test_settings_reject_what_they_do_not_know(spark):
     patches = spark.createDataFrame([("a", 1, "theme", "dark"), ("a", 2, "__proto__", "1"), ("a", 3, "resultsPerPage", "4")], "owner string, at int, key string, value string")
     got = {(r["key"], r["value"], r["error"]) for r in activity.effective_settings(patches).collect()}

@@ -81,6 +81,30 @@ def test_cap_reports_exactly_full_terms(spark):
     assert limited_terms(ix.terms, 5).count() == 1 and limited_terms(ix.terms, 6).count() == 0
 
 
+def test_words_beyond_what_is_stored_are_found(spark):
+    ix = corpus(spark, {"text": "filler " * 1001 + "zebrafish", "title": "  t  "}, {"text": "other", "links": ["0", "../x?utm_source=y", "mailto:a@b.c"], "host": "h0.example"})
+    assert [r["doc_id"] for r in find(spark, ix, "zebrafish")] == [1] and ix.docs.where("len = 1003 AND length(text) = 6000 AND title = 't'").count() == 1
+    assert ix.docs.where("id = 2").first()["links"] == ["https://h0.example/0", "https://h0.example/x"] and [tuple(r) for r in ix.edges.collect()] == [(2, 1)]
+
+
+def test_a_binding_cap_weighs_the_heaviest_pages_and_says_so(spark):
+    from korpora.engine import SearchEngine
+
+    ix = corpus(spark, *[{"text": "word " * (i + 1) + "rare" * (i == 0), "host": f"h{i}.example"} for i in range(40)])
+    for cap, total, limited in ((10, 10, ["word"]), (10_000, 40, []), (1, 1, ["word"]), (40, 40, ["word"])):
+        answer = SearchEngine(ix, cap).search("word", NOW, per_page=50)
+        assert (answer.total, answer.limited) == (total, limited) and answer.results[0]["doc_id"] == 40
+    assert SearchEngine(ix, 10).search("rare -word", NOW).total == 0  # exclusion sees the postings beyond the cap
+
+
+def test_queries_of_a_table_are_read_as_on_the_driver(spark):
+    texts = ['moon "exact phrase" -tide site:A.example site:b.example', '"site:x.example -y"', "-site:foo.com x", "", None, "the of", "“curled up” ＂wide＂ rest", 'a "…" b', "–dash -Élan-x\u00a0-b", 'x "one" "two three" "', "running  RUN site:no"]
+    got = {r["qid"]: r for r in query.query_table_of(spark.createDataFrame(list(enumerate(texts)), "qid int, q string")).collect()}
+    for i, text in enumerate(texts):
+        q, r = query.parse(text), got[i]
+        assert (r["terms"], r["required"], r["phrases"], r["excluded"], r["site"]) == (q.terms, q.required, [p for _, p in q.phrases], [t for _, t in q.excluded], q.site), text
+
+
 def test_extra_columns_change_nothing(spark):
     ix = corpus(spark, {"text": "some page about rope"}, {"text": "rope page"})
     a = [(r["doc_id"], r["score"]) for r in find(spark, ix, "rope page")]
@@ -149,16 +173,17 @@ def test_engine_and_upsert(spark):
     assert {r["term"] for r in later.postings.where("doc_id = 99").collect()} == {"replac", "kelp"}
     fewer = maintenance.remove(later, spark.createDataFrame([("https://h1.example/1#x",)], "url string"))
     assert fewer.docs.count() == 11 and fewer.terms.where("term = 'lighthous'").first()["df"] == 10
+    less = maintenance.compact(fewer)
+    assert less.postings.where("doc_id IN (1, 2)").count() == 0 and less.postings.count() == fewer.postings.count() and less.terms.where("term = '0'").count() == 0
 
 
-def brute_hits(ix, text, first):
+def brute_hits(ix, text, first, rank_of):
     """The first hits of one query, from the collected index."""
     import math
 
     q = query.parse(text)
     docs, df = {r["id"]: r for r in ix.docs.collect()}, {r["term"]: r["df"] for r in ix.terms.collect()}
     posts = {(r["term"], r["doc_id"]): r for r in ix.postings.collect()}
-    rank_of = {r["doc_id"]: r["authority"] for r in graph.pagerank(ix.docs, ix.edges, iterations=5).collect()}
     at = lambda t, d: set(posts[t, d]["pos"]) if (t, d) in posts else set()
     follow = lambda ts, d: any(all(p + k in at(t, d) for k, t in enumerate(ts)) for p in at(ts[0], d))
     fit = {}
@@ -198,7 +223,8 @@ def test_every_search_of_a_log_is_answered(spark):
     got = {}
     for r in search.answered(log, ix, graph.pagerank(ix.docs, ix.edges, iterations=5), F.lit(NOW).cast("timestamp")).orderBy("search_id", "place").collect():
         got.setdefault(r["search_id"], []).append((r["place"], r["doc_id"], r["score"]))
-    want = {i: brute_hits(ix, q, 10) for i, q in rows if q and q.strip()}
+    rank_of = {r["doc_id"]: r["authority"] for r in graph.pagerank(ix.docs, ix.edges, iterations=5).collect()}
+    want = {i: brute_hits(ix, q, 10, rank_of) for i, q in rows if q and q.strip()}
     assert got == {i: [(p, d, pytest.approx(s, abs=2e-4)) for p, d, s in hits] for i, hits in want.items() if hits}
     assert len(got) > 30 and 20 * (len(texts) - 5) not in got
 
@@ -207,7 +233,7 @@ def test_the_batch_covers_the_log(spark, sf_dir):
     from korpora import plans
 
     asked = spark.read.parquet(f"{sf_dir}/searches.parquet").where("search_id % 20 = 0 AND trim(q) <> ''")
-    got = plans.queries()["batch_search_log"](spark, sf_dir)
+    got = plans.queries()["batch_search_topk"](spark, sf_dir)
     lost = asked.join(got, "search_id", "left_anti").selectExpr("search_id AS qid", "q").distinct()
-    without = rank.pool(rank.candidates(query.parsed_table_of(lost), plans.search.index(spark, sf_dir)))
+    without = rank.pool(rank.candidates(query.query_table_of(lost), plans.search.index(spark, sf_dir)))
     assert got.where("search_id % 20 <> 0").count() == 0 and asked.join(got, "search_id").count() > 0 and without.count() == 0

@@ -17,6 +17,13 @@ def test_normalise_strips_accents_and_compatibility_forms(spark):
     assert one(spark, normalize(F.lit(None).cast("string"))) == ""
 
 
+def test_normalise_is_nfkd_for_every_code_point(spark):
+    every = [(c, chr(c)) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    forms = spark.createDataFrame(every, "c int, t string").repartition(8).select("t", normalize(F.concat(F.lit("a"), F.col("t"))).alias("n")).collect()
+    want = {t: "".join(x for x in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(x) <= 0x36F) for _, t in every}
+    assert [r["t"] for r in forms if r["n"] != "a" + want[r["t"]].lower() and py_normalize("a" + r["t"]) != r["n"]] == []
+
+
 def test_stems():
     pairs = {"running": "run", "coding": "cod", "code": "cod", "berries": "berry", "classes": "clas", "bus": "bus", "2000": "200", "quickly": "quick", "the": "the"}
     assert {w: py_stem(w) for w in pairs} == pairs
@@ -53,8 +60,8 @@ def test_urls(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "u string").select("u", urls.normalize_url(F.col("u")).alias("n"))
     assert {r["u"]: r["n"] for r in df.collect()} == cases
-    links = spark.createDataFrame([("../b?gclid=1", "https://a.example/x/y/z"), ("/c", "https://a.example/x"), (None, "https://a.example"), ("ftp://x", "https://a.example")], "r string, b string")
-    assert [r[0] for r in links.select(urls.resolve_url(F.col("r"), F.col("b"))).collect()] == ["https://a.example/x/b", "https://a.example/c", None, None]
+    links = spark.createDataFrame([("../b?gclid=1", "https://a.example/x/y/z"), ("/c", "https://a.example/x"), (None, "https://a.example"), ("ftp://x", "https://a.example"), ("n?q=1", "https://a.example/x/y?z=1"), ("?p=2", "https://a.example"), ("//B.example/./c/../d#e", "http://a.example"), ("#top", "https://a.example/x"), ("../../..", "https://a.example/x/y")], "r string, b string")
+    assert [r[0] for r in links.select(urls.resolve_url(F.col("r"), F.col("b"))).collect()] == ["https://a.example/x/b", "https://a.example/c", None, None, "https://a.example/x/n?q=1", "https://a.example/?p=2", "http://b.example/d", "https://a.example/x", "https://a.example"]
     assert one(spark, urls.domain(F.lit("https://A.Example:8080/x"))) == "a.example"
 
 
