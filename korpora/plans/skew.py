@@ -9,7 +9,7 @@ from korpora.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot_keys(key_totals(table(spark, sf_dir, "postings")))
+    return hot_keys(key_totals(table(spark, sf_dir, "postings"), pages=False))
 
 
 def p1_key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
