@@ -38,45 +38,45 @@ def _word_traits(word: str) -> tuple[int, int, int]:
     return -1, end, int(word[0].isspace())
 
 
-def _inside(bpe, ids: list[int]) -> tuple[list[int], list[int]]:
-    """Per token of a word: the letter for a cut within the word, and the characters that are complete after it."""
-    data, letters, chars, at, done = b"".join(bpe.token[t] for t in ids), [], [], 0, 0
+def _inside(bpe, ids: list[int]) -> tuple[bytes, bytes]:
+    """Per token of a word: the letter for a cut within the word, and (as int32) the bytes of the characters that are complete after it."""
+    data, letters, ends, at = b"".join(bpe.token[t] for t in ids), bytearray(), [], 0
     for t in ids:
-        token = bpe.token[t]
-        at += len(token)
-        done += sum((b & 0xC0) != 0x80 for b in token)
-        whole = at == len(data) or (data[at] & 0xC0) != 0x80
-        letters.append(INSIDE if whole else BYTE)
-        chars.append(done if whole else done - 1)
-    return letters, chars
-
-
-class _Shapes:
-    """Traits of distinct words, kept per worker."""
-
-    def __init__(self):
-        self.known: dict[str, tuple] = {}
-
-    def of(self, word: str, ids: list[int], bpe) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[word] = (_word_traits(word), *_inside(bpe, ids), len(word))
-        return found
-
-
-_shapes = _Shapes()
+        at += len(bpe.token[t])
+        whole = at
+        while whole < len(data) and (data[whole] & 0xC0) == 0x80:
+            whole -= 1
+        letters.append(INSIDE if whole == at else BYTE)
+        ends.append(whole)
+    return bytes(letters), np.array(ends, np.int32).tobytes()
+
+
+#: Bytes of the blocks that texts are held in, so that a piece copies its own blocks alone.
+BLOCK = 4096
+#: Words kept in a worker's memory of traits.
+SHAPE_MEMORY = 200_000
+_shapes: dict[str, tuple] = {}
+
+
+def _shapes_of(batch: WordBatch, bpe) -> list[tuple]:
+    """(newlines, kind of end, starts with white space, letters, ends, bytes) of the distinct words of a batch."""
+    fresh = [k for k, w in enumerate(batch.distinct) if w not in _shapes]
+    if len(_shapes) + len(fresh) > SHAPE_MEMORY:
+        _shapes.clear()
+        fresh = range(len(batch.distinct))
+    for k in fresh:
+        word = batch.distinct[k]
+        _shapes[word] = (*_word_traits(word), *_inside(bpe, batch.flat[batch.first[k] : batch.first[k + 1]].tolist()), len(word.encode()))
+    return [_shapes[w] for w in batch.distinct]
 
 
 def _letters(batch: WordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per token of the batch: its boundary letter, and the characters of its text up to its end."""
-    bpe = encoder(path)[0]
-    ids = np.split(batch.flat, batch.first[1:-1]) if len(batch.distinct) else []
-    shapes = [_shapes.of(w, i.tolist(), bpe) for w, i in zip(batch.distinct, ids)]
+    """Per token of the batch: its boundary letter, and the bytes of its text up to its end."""
+    shapes = _shapes_of(batch, encoder(path)[0])
     if not shapes:
         return np.zeros(0, np.uint8), np.zeros(0, np.int32)
-    newlines, ends, starts = (np.array([s[0][k] for s in shapes])[batch.codes] for k in range(3))
+    traits = list(zip(*shapes))
+    newlines, ends, starts, lengths = (np.array(traits[k], np.int32)[batch.codes] for k in (0, 1, 2, 5))
     follows = np.append(starts[1:], 1)
     next_newlines = np.append(newlines[1:], -1)
     last_of_row = np.zeros(len(batch.codes), bool)
@@ -92,20 +92,31 @@ def _letters(batch: WordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
         [PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD], JOINT,
     ).astype(np.uint8)
     word[last_of_row] = PARAGRAPH  # the end of a text is as strong as any
-    letters = batch.spread(np.array([x for s in shapes for x in s[1]], np.uint8))
+    letters = batch.spread(np.frombuffer(b"".join(traits[3]), np.uint8))
     letters[batch.word_ends[1:] - 1] = word
-    # Characters: those of the words before in the same text, and those within the word.
-    lengths = np.array([s[3] for s in shapes], np.int64)[batch.codes]
-    so_far = np.cumsum(lengths) - lengths
-    in_row = so_far - np.repeat(so_far[batch.starts[:-1][np.diff(batch.starts) > 0]], np.diff(batch.starts)[np.diff(batch.starts) > 0])
-    chars = batch.spread(np.array([x for s in shapes for x in s[2]], np.int32)) + np.repeat(in_row, batch.word_sizes)
-    return letters, chars.astype(np.int32)
+    # Bytes: those of the words before in the same text, and those within the word.
+    so_far = np.cumsum(lengths, dtype=np.int64) - lengths
+    per_row = np.diff(batch.starts)
+    in_row = so_far - np.repeat(so_far[batch.starts[:-1][per_row > 0]], per_row[per_row > 0])
+    done = batch.spread(np.frombuffer(b"".join(traits[4]), np.int32)) + np.repeat(in_row, batch.word_sizes)
+    return letters, done.astype(np.int32)
+
+
+def _blocks(text: pa.StringArray) -> pa.ListArray:
+    """Each text as a list of blocks of bytes; the texts are not null."""
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    count = -(-np.diff(offsets) // BLOCK)
+    ends = np.append(0, np.cumsum(count))
+    within = np.arange(ends[-1]) - np.repeat(ends[:-1], count)
+    starts = np.append(np.repeat(offsets[:-1], count) + within * BLOCK, offsets[-1]).astype(np.int32)
+    blocks = pa.Array.from_buffers(pa.binary(), int(ends[-1]), [None, pa.py_buffer(starts.tobytes()), text.buffers()[2]])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), blocks)
 
 
 def boundary_strings(
     docs: DataFrame, longer_than: int, id_col: str, text_col: str, tokenizer_dir: str | None = None, vocabulary: str = VOCABULARY
 ) -> DataFrame:
-    """(id, text, letters, char_ends) of the texts with more than ``longer_than`` tokens."""
+    """(id, blocks, letters, byte_ends) of the texts with more than ``longer_than`` tokens."""
     path = f"{tokenizer_dir or TOKENIZER_DIR}/{vocabulary}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,20 +127,21 @@ def boundary_strings(
                 keep = batch.counts() > longer_than
                 if not keep.any():
                     continue
-                letters, chars = _letters(batch, path)
+                letters, ends = _letters(batch, path)
                 offsets = pa.py_buffer(batch.token_starts.astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1),
+                        part.column(0), _blocks(part.column(1)),
                         pa.StringArray.from_buffers(batch.rows, offsets, pa.py_buffer(letters.tobytes())),
-                        pa.ListArray.from_arrays(pa.array(batch.token_starts.astype(np.int32)), pa.array(chars)),
+                        pa.ListArray.from_arrays(pa.array(batch.token_starts.astype(np.int32)), pa.array(ends)),
                     ],
-                    ["id", "text", "letters", "char_ends"],
+                    ["id", "blocks", "letters", "byte_ends"],
                 ).filter(pa.array(keep))
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words_of(F.col(text_col)).alias("words"))
-    return chosen.mapInArrow(run, f"id {kind}, text string, letters string, char_ends array<int>")
+    # A token has a byte at least, so shorter texts need not be looked at.
+    return chosen.where(F.octet_length("text") > longer_than).mapInArrow(run, f"id {kind}, blocks array<binary>, letters string, byte_ends array<int>")
 
 
 def _choices(most: int, overlap: int) -> str:
@@ -149,24 +161,28 @@ def cut_pattern(limit: int, overlap: int) -> str:
     return f"(?s)^(?:{_choices(limit, overlap)})|(?:{_choices(limit - overlap, overlap)})"
 
 
-def _cuts(limit: int, overlap: int) -> Column:
-    """[0, end of the first piece, end of the second, ...] in tokens."""
-    lengths = F.transform(F.regexp_extract_all("letters", F.lit(cut_pattern(limit, overlap)), 0), F.length)
+def _cuts(parts: str) -> Column:
+    """[0, end of the first piece, end of the second, ...] in tokens, from the letters of each piece's new tokens."""
+    lengths = F.transform(parts, F.octet_length)
     return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
 
-def _pieces(cuts: str, profile: str, overlap: int) -> Column:
-    def piece(i: Column) -> Column:
-        new, end = F.element_at(cuts, i), F.element_at(cuts, i + 1)
+def _pieces(parts: str, cuts: str, profile: str, overlap: int) -> Column:
+    """One struct per piece; texts are cut as blocks of bytes, at the ends of characters, so that no cut goes through a whole text."""
+
+    def piece(letters: Column, i: Column) -> Column:
+        new, end = F.element_at(cuts, i + 1), F.element_at(cuts, i + 2)
         start = F.greatest(new - overlap, F.lit(0))
-        first = F.when(start > 0, F.element_at("char_ends", F.greatest(start, F.lit(1)))).otherwise(0)
-        last = F.element_at("char_ends", end)
+        first = F.when(start > 0, F.element_at("byte_ends", F.greatest(start, F.lit(1)))).otherwise(0)
+        last = F.element_at("byte_ends", end)
+        at, to = F.floor(first / BLOCK).cast("int"), F.floor(F.greatest(last - 1, F.lit(0)) / BLOCK).cast("int")
+        held = F.aggregate(F.slice("blocks", at + 1, F.greatest(to - at + 1, F.lit(0))), F.lit(b""), lambda acc, block: F.concat(acc, block))
         return F.struct(
-            F.lit(profile).alias("profile"), (i - 1).alias("piece_no"), start.alias("start_token"), (end - start).alias("n_tokens"),
-            (new - start).alias("shared"), F.substr("letters", end, F.lit(1)).alias("boundary"), F.substr("text", first + 1, last - first).alias("text"),
+            F.lit(profile).alias("profile"), i.alias("piece_no"), start.alias("start_token"), (end - start).alias("n_tokens"),
+            (new - start).alias("shared"), F.right(letters, F.lit(1)).alias("boundary"), F.substr(held, first - at * BLOCK + 1, last - first).cast("string").alias("text"),
         )
 
-    return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), piece)
+    return F.transform(parts, piece)
 
 
 def split(
@@ -196,8 +212,10 @@ def split(
         )
     marked = boundary_strings(docs, min(limit for _, limit, _ in limits), id_col, text_col, tokenizer_dir, vocabulary)
     for k, (_, limit, overlap) in enumerate(limits):
-        marked = marked.withColumn(f"cuts{k}", F.when(F.length("letters") > limit, _cuts(limit, overlap)))
-    pieces = [F.when(F.col(f"cuts{k}").isNotNull(), _pieces(f"cuts{k}", p, overlap)) for k, (p, _, overlap) in enumerate(limits)]
+        parts = F.regexp_extract_all("letters", F.lit(cut_pattern(limit, overlap)), 0)
+        marked = marked.withColumn(f"parts{k}", F.when(F.octet_length("letters") > limit, parts))
+    marked = marked.withColumns({f"cuts{k}": _cuts(f"parts{k}") for k in range(len(limits))})
+    pieces = [_pieces(f"parts{k}", f"cuts{k}", p, overlap) for k, (p, _, overlap) in enumerate(limits)]
     one = F.explode(F.flatten(F.array_compact(F.array(*pieces)))).alias("piece")
     return marked.select(F.col("id").alias(id_col), one).select(
         "piece.profile", id_col, *(f"piece.{c}" for c in ("piece_no", "start_token", "n_tokens", "shared", "boundary", "text"))
