@@ -20,7 +20,10 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, d = x.shape
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(d)]
-        binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1).astype(np.int64)
+        binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)]).astype(np.int64)
+        # A feature's bins beyond its edges are no cuts.
+        cuts_of = np.arange(BINS)[None, :] < np.array([len(e) for e in self.edges])[:, None]
+        places = (binned + np.arange(d)[:, None] * BINS).ravel()
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(p / (1 - p)))
         self.model: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -28,24 +31,18 @@ class BoostedTrees:
         for _ in range(self.trees):
             prob = 1 / (1 + np.exp(-score))
             g, h = prob - y, prob * (1 - prob)
+            all_g, all_h = np.tile(g, d), np.tile(h, d)
             leaf = np.zeros(n, np.int64)
             features, bins = [], []
             for level in range(self.depth):
-                best = (-np.inf, 0, 0)
-                cells = (1 << level) * BINS
-                for j in range(d):
-                    if not len(self.edges[j]):
-                        continue
-                    at = leaf * BINS + binned[:, j]
-                    gs = np.bincount(at, g, cells).reshape(-1, BINS).cumsum(1)
-                    hs = np.bincount(at, h, cells).reshape(-1, BINS).cumsum(1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = (gs**2 / (hs + self.l2) + (gt - gs) ** 2 / (ht - hs + self.l2)).sum(0)[: len(self.edges[j])]
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, k)
-                _, j, k = best
-                leaf = leaf * 2 + (binned[:, j] > k)
+                at = places + np.tile(leaf * (d * BINS), d)
+                shape = (1 << level, d, BINS)
+                gs = np.bincount(at, all_g, np.prod(shape)).reshape(shape).cumsum(2)
+                hs = np.bincount(at, all_h, np.prod(shape)).reshape(shape).cumsum(2)
+                gt, ht = gs[:, :, -1:], hs[:, :, -1:]
+                gain = (gs**2 / (hs + self.l2) + (gt - gs) ** 2 / (ht - hs + self.l2)).sum(0)
+                j, k = divmod(int(np.where(cuts_of, gain, -np.inf).argmax()), BINS)
+                leaf = leaf * 2 + (binned[j] > k)
                 features.append(j)
                 bins.append(k)
             size = 1 << self.depth
