@@ -3,9 +3,11 @@
 import collections
 import math
 import random
+import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,8 +111,18 @@ def test_output_codes_on_held_out_samples(samples):
     rows = [(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()]
     train, test = rows[::2], rows[1::2]
     codes = language.OutputCodes([t for _, t in train], [lang for lang, _ in train])
-    right = sum(codes.decide(language._WORD.findall(t))[0] == lang for lang, t in test)
+    right = sum(codes.language_of(t)[0] == lang for lang, t in test)
     assert right >= 0.98 * len(test)
+    assert codes.language_of("")[0] is None and codes.language_of("12 34 !?") == (None, 0.0)
+
+
+def test_grams_of_words_do_not_depend_on_their_neighbours():
+    words = pa.array(["été", "a", "", "straße", "été"])
+    grams, starts, counts = language.word_grams(words)
+    ends = [*starts[1:], len(grams)]
+    each = [grams[a:b] for a, b in zip(starts, ends)]
+    assert (each[0] == each[4]).all() and (language.word_grams(words.slice(3, 1))[0] == each[3]).all()
+    assert [(e < language.DIMENSIONS).sum() for e in each] == counts.tolist() and counts[1] == 1 + 3 + 2 + 1
 
 
 def test_code_words_differ_in_half_of_their_bits():
@@ -125,16 +137,28 @@ def test_labels(spark):
     assert [r[0] for r in df.select(language.named_language(F.col("l"))).collect()] == ["en", "de", "fr", "fr", None, None, None, None, None]
 
 
+def judged(text, codes):
+    lines_ = text.split("\n")
+    return language.judge(np.zeros(len(lines_), int), np.arange(1, len(lines_) + 1), pa.array(lines_), 1, codes)[0]
+
+
 def test_mixed_pages(samples):
     codes = language.OutputCodes([r["text"] for r in samples.collect()], [r["lang"] for r in samples.collect()])
     by = collections.defaultdict(list)
     for r in samples.collect():
-        by[r["lang"]] += language._SENTENCE.split(r["text"])
-    text = " ".join(by["en"][:4] + by["fr"][:2] + by["en"][4:8])
-    main, sure, segments = language.judge([(1, text)], codes)
-    assert main == "en" and 0.5 < sure <= 1 and [s[0] for s in segments] == ["fr"]
-    one = " ".join(by["en"][:4] + by["fr"][:1] + by["en"][4:8])
-    assert language.judge([(1, one)], codes)[2] == [] and language.judge([], codes)[0] is None
+        by[r["lang"]] += re.split(r"(?<=[.!?])\s+", r["text"])
+    main, sure, segments = judged(" ".join(by["en"][:4] + by["fr"][:2]) + "\n" + " ".join(by["en"][4:8]), codes)
+    assert main == "en" and 0.5 < sure <= 1 and [s[:4] for s in segments] == [("fr", 1, 1, 2)]
+    main, _, segments = judged(" ".join(by["en"][:4] + by["fr"][:1] + by["en"][4:8]), codes)
+    assert main == "en" and [s[:4] + s[5:] for s in segments] == [("fr", 1, 1, 1, False)]
+    assert judged("", codes) == (None, 0.0, []) and judged("Yes. No.", codes)[0] is None and judged("Le soir. La mer. Un pont. Des amis. Une fleur.", codes)[0] == "fr"
+
+
+def test_issues_need_a_run_of_sure_sentences(spark):
+    one = lambda n, ambiguous, lang: {"lang": lang, "first_line": 1, "last_line": 1, "sentences": n, "confidence": 0.9, "ambiguous": ambiguous}
+    rows = [(1, "en", "en", [one(1, False, "fr"), one(1, True, "it")]), (2, None, "en", [one(2, False, "fr"), one(3, False, "fr")]), (3, "de", "en", []), (4, None, None, [])]
+    df = spark.createDataFrame(rows, "id bigint, named string, lang string, segments " + language._SEGMENTS)
+    assert sorted(tuple(r) for r in language.language_issues(df).collect()) == [(2, "missing", "en"), (2, "mixed", "fr"), (3, "wrong", "en")]
 
 
 def test_languages_of_odd_rows(spark, samples):
@@ -233,11 +257,23 @@ def test_truncation(spark):
 
 
 def test_whole_lines_are_not_shown_by_cut_ones(spark):
-    rows = [("Read on", False)] * 5 + [("Contact us", True)] * 3 + [("-- 1", True)] * 5 + [("The town", True)] * 3 + [(f"The town of {'x' * k}", True) for k in range(1, 200)] + [("So", True)] * 3 + [("Soon it ends", True)]
-    lines_ = spark.createDataFrame(rows, "line string, whole boolean")
-    wanted = lines_.select(truncation._line_key(F.col("line")).alias("line"), F.col("line").alias("text"))
-    got = truncation.whole_lines(lines_, wanted).join(wanted, "line").select("text").distinct().collect()
-    assert {r["text"] for r in got} == {"Contact us", "So"}
+    """Lines within a text are whole, its last one only if it is closed; a line of few letters or without any shows nothing."""
+    held = ["Contact us"] * 3 + ["-- 1"] * 5 + ["The town"] * 3 + [f"The town of {'x' * k}" for k in range(1, 200)] + ["Soon it"] * 3 + ["Soon it ends", "So", "So", "So"]
+    texts = [f"{line}\n{k} closed." for k, line in enumerate(held)] + [f"{k} closed.\nRead on" for k in range(5)]
+    docs = pages(spark, *[{"text": t} for t in texts])
+    asked = ["Read on", "Contact us", "-- 1", "The town", "Soon it", "So"]
+    forms = ["".join(c for c in t.lower() if c.isalpha()) for t in asked]
+    wanted = spark.createDataFrame([(int(h), f, t) for h, f, t in zip(truncation._hashes(pa.array(forms)).view(np.int64), forms, asked)], "line bigint, form string, text string")
+    got = truncation.whole_lines(docs, truncation.FIELDS, truncation.measured(docs), wanted).join(wanted, "line").select("text").collect()
+    assert {r["text"] for r in got} == {"Contact us", "Soon it"}
+
+
+def test_words_are_counted_by_their_ends(spark):
+    """Keys of the last words of lines against a count by hand; equal values count once."""
+    texts = ["The old lamp. The new lamp", "A lamp\nThe old lamp, 12 of them.", "A lamp\nThe old lamp, 12 of them."]
+    got = {r["key"]: (r["ends"], r["goes_on"]) for r in truncation.measured(pages(spark, *[{"text": t} for t in texts])).where("NOT is_line").groupBy("key").sum("ends", "goes_on").toDF("key", "ends", "goes_on").collect()}
+    keys = truncation.Words(pa.array(["old lamp", "a lamp", "them"])).keys
+    assert got[keys[1, 1]] == got[keys[1, 3]] == (2, 1) and got[keys[2, 1]] == (1, 1) and got[keys[2, 3]] == (1, 0) and got[keys[1, 4]] == (1, 0)
 
 
 def test_truncation_of_odd_rows(spark):
