@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpora.session import materialize
@@ -127,18 +127,36 @@ def term_degrees(postings: DataFrame, window: int = WINDOW, page_rows: int = PAG
         (F.coalesce("f0", F.lit(0)) + F.coalesce("f1", F.lit(0)) + F.coalesce("f2", F.lit(0))).alias("f"),
         F.filter("pos", lambda p: p.isNotNull()).alias("pos"),
     )
-    # At most one page per page_rows postings can be this large.
     sizes = live.groupBy("shard", "doc_id").count().where(F.col("count") > page_rows)
-    huge = sizes.select("shard", "doc_id").collect()
-    rest = live
-    if huge:
-        big = postings.sparkSession.createDataFrame(huge, "shard int, doc_id bigint")
-        rest = live.join(F.broadcast(big), ["shard", "doc_id"], "left_anti")
+    huge = materialize(sizes.select("shard", "doc_id"), "huge_pages")
+    if huge.isEmpty():
+        rest = live
+    else:
+        rest = live.join(huge, ["shard", "doc_id"], "left_anti")
     by_page = rest.repartition("shard", "doc_id").sortWithinPartitions("shard", "doc_id", "key")
     out = by_page.mapInArrow(_stream(window), _OUT)
-    if huge:
-        out = out.unionByName(_degrees_by_position(live.join(F.broadcast(big), ["shard", "doc_id"], "left_semi"), window))
-    return out
+    return out if huge.isEmpty() else out.unionByName(_degrees_by_position(live.join(huge, ["shard", "doc_id"], "left_semi"), window))
+
+
+class _Collection:
+    """What scores need of the whole collection."""
+
+    def __init__(self, postings: DataFrame, docs: DataFrame, window: int, b: float):
+        known = docs.agg(F.countDistinct("id").alias("pages"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean")).first()
+        self.pages, self.mean, self.b = max(known["pages"], 1), known["mean"] or 1.0, b
+        self.terms = materialize(term_degrees(postings, window), "degrees")
+        per_shard = self.terms.groupBy("shard", "term").agg(F.count("*").alias("df_shard"))
+        self.per_term = per_shard.groupBy("term").agg(
+            F.sum("df_shard").alias("df"), F.map_from_entries(F.collect_list(F.struct("shard", "df_shard"))).alias("by_shard")
+        )
+
+    def scored(self, terms: DataFrame) -> DataFrame:
+        norm = 1 - self.b + self.b * F.col("page_len") / F.lit(self.mean)
+        return terms.join(self.per_term, "term").select(
+            "shard", "doc_id", "term", "w", "degree",
+            F.element_at("by_shard", F.col("shard")).alias("df_shard"), "df",
+            (F.col("degree") / norm * F.log((F.lit(self.pages) + 1) / F.col("df"))).alias("score"),
+        )
 
 
 def term_scores(postings: DataFrame, docs: DataFrame, window: int = WINDOW, b: float = B) -> DataFrame:
@@ -151,16 +169,18 @@ def term_scores(postings: DataFrame, docs: DataFrame, window: int = WINDOW, b: f
     length is counted in its postings, as ``len`` may be stale. Empty postings
     give no rows.
     """
-    known = docs.agg(F.countDistinct("id").alias("pages"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean")).first()
-    pages, mean = max(known["pages"], 1), known["mean"] or 1.0
-    terms = materialize(term_degrees(postings, window), "degrees")
-    per_shard = terms.groupBy("shard", "term").agg(F.count("*").alias("df_shard"))
-    per_term = per_shard.groupBy("term").agg(
-        F.sum("df_shard").alias("df"), F.map_from_entries(F.collect_list(F.struct("shard", "df_shard"))).alias("by_shard")
-    )
-    norm = 1 - b + b * F.col("page_len") / F.lit(mean)
-    return terms.join(per_term, "term").select(
-        "shard", "doc_id", "term", "w", "degree",
-        F.element_at("by_shard", F.col("shard")).alias("df_shard"), "df",
-        (F.col("degree") / norm * F.log((F.lit(pages) + 1) / F.col("df"))).alias("score"),
-    )
+    whole = _Collection(postings, docs, window, b)
+    return whole.scored(whole.terms)
+
+
+def characteristic_terms(postings: DataFrame, docs: DataFrame, where: Column, window: int = WINDOW, b: float = B) -> DataFrame:
+    """The rows of ``term_scores`` whose score reaches the mean of their page's terms (page_mean), of those that fulfil ``where``.
+
+    Means are made of all terms of a page; only pages with a row that fulfils
+    ``where`` need one.
+    """
+    whole = _Collection(postings, docs, window, b)
+    page = ["shard", "doc_id"]
+    asked = materialize(whole.scored(whole.terms).where(where), "asked_terms")
+    means = whole.scored(whole.terms.join(asked.select(*page).distinct(), page, "left_semi")).groupBy(*page).agg(F.avg("score").alias("page_mean"))
+    return asked.join(means, page).where(F.col("score") >= F.col("page_mean"))
