@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from korpora.functions.text import composed
 from korpora.llm.gbt import BoostedTrees
+from korpora.llm.lines import letters
 from korpora.session import materialize
 
 #: Pages that the models are fitted on, at most.
@@ -53,11 +54,6 @@ _BETWEEN = r"\s*[|·›»>/•▸→]\s*|\s{2,}"
 _AGAIN = "array<struct<line_no: int, pages: bigint>>"
 
 
-def letters(text: Column) -> Column:
-    """The letters of each line of a text in one form, lines parted as in the text."""
-    return F.regexp_replace(F.lower(composed(text)), r"[^\p{L}\n]+", "")
-
-
 def repeats_of_pages(docs: DataFrame) -> DataFrame:
     """(id, site_pages, again[(line_no, pages)]): how many pages its site has, and how many of them have each of its repeated lines.
 

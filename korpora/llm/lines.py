@@ -4,58 +4,44 @@ Lines are compared by their letters alone. For each (source, line) the pages of
 the source with it are set against the pages of all other sources by a
 log-likelihood ratio, and Benjamini and Hochberg's rule bounds the share of
 false discoveries among those called excessive. A line that many other sources
-carry too is still repeated, so the rate outside only excuses a line up to
-``tolerated``. Excessive lines leave the pages by an anti-join, and the rest of
+carry too is still repeated on each of them, so where lines are to leave the
+pages the rate outside only excuses a line up to ``tolerated``: what ordinary
+text repeats by chance. Excessive lines leave the pages by an anti-join, and the rest of
 each page is put together again by line number.
 """
 
 from __future__ import annotations
 
 import math
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from korpora.functions.text import composed
 from korpora.session import materialize
 
 #: Rate on other sources' pages beyond which a line is not excused any further.
 TOLERATED = 0.005
-#: Pages of its source that a line must stand on to be tested.
-LEAST_PAGES = 4
+#: Pages of its source that a line must stand on to be tested, and to be called repeated.
+TESTED_PAGES, LEAST_PAGES = 2, 4
 #: Bound on the share of false discoveries.
 FALSE_RATE = 0.05
 #: Steps of the log-likelihood ratio in which discoveries are counted.
 STEPS_PER_UNIT, STEPS = 20, 4000
 
-# Fixed value: characters that NFKC leaves alone and composes with nothing, so
-# that a text of these alone needs no normalisation.
-_PLAIN = r"^[\x00-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2039}\x{203a}\x{20ac}\x{25a0}-\x{25ff}]*$"
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def compatible(text: Column) -> Column:
-    """NFKC of a text; plain texts stay in the JVM."""
-    return F.coalesce(_nfkc(F.when(~text.rlike(_PLAIN), text)), text)
+def letters(text: Column) -> Column:
+    """The letters of each line of a text in one form, lines parted as in the text."""
+    return F.regexp_replace(F.lower(composed(text)), r"[^\p{L}\n]+", "")
 
 
 def line_table(docs: DataFrame, id_col: str = "id", text_col: str = "text", source: tuple[str, ...] = ("domain", "shard")) -> DataFrame:
-    """(id, source columns, line_no, line, key): lines split at newlines, counted from 1; the key is '' for a line without letters.
+    """(id, source columns, line_no, key): lines split at newlines, counted from 1; lines without letters are left out.
 
     Normalisation never adds or removes a newline, so lines are numbered as in
     the stored text.
     """
-    pair = F.arrays_zip(F.split(F.col(text_col), "\n").alias("line"), F.split(compatible(F.col(text_col)), "\n").alias("form"))
-    return docs.select(F.col(id_col).alias("id"), *source, F.posexplode(pair).alias("at", "pair")).select(
-        "id", *source, (F.col("at") + 1).alias("line_no"), "pair.line", F.regexp_replace(F.lower("pair.form"), r"\P{L}+", "").alias("key")
-    )
+    keys = F.posexplode(F.split(letters(F.col(text_col)), "\n")).alias("at", "key")
+    return docs.select(F.col(id_col).alias("id"), *source, keys).where("key <> ''").select("id", *source, (F.col("at") + 1).alias("line_no"), "key")
 
 
 def key_bytes(key: Column) -> Column:
@@ -70,13 +56,18 @@ def _ratio(k: Column, n: Column, p0: Column) -> Column:
     return F.when(p > p0, 2 * gain).otherwise(0.0)
 
 
-def line_excess(docs: DataFrame, lines: DataFrame, source: tuple[str, ...] = ("domain", "shard"), tolerated: float = TOLERATED, least: int = LEAST_PAGES) -> DataFrame:
-    """(source columns, key, pages, source_pages, outside_pages, ratio) of each line on at least ``least`` pages of its source."""
+def line_excess(docs: DataFrame, lines: DataFrame, source: tuple[str, ...] = ("domain", "shard"), tolerated: float = TOLERATED, least: int = TESTED_PAGES) -> DataFrame:
+    """(source columns, key, pages, source_pages, outside_pages, ratio) of each line on at least ``least`` pages of its source.
+
+    ``ratio`` is twice the log-likelihood ratio of the source's rate against the
+    rate on all other pages, where that is lower, or against ``tolerated``, where
+    they have the line more often; with 1 the outside rate always counts.
+    """
     held = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in source]
     sizes = docs.groupBy(*held).agg(F.count("*").alias("source_pages"))
     every = docs.count()
     per = (
-        lines.where("key <> ''").select(*held, key_bytes(F.col("key")).alias("key"), "id").distinct()
+        lines.select(*held, key_bytes(F.col("key")).alias("key"), "id").distinct()
         .groupBy(*source, "key").agg(F.count("*").alias("pages"))
     )
     all_pages = per.groupBy("key").agg(F.sum("pages").alias("all_pages"))
@@ -85,7 +76,7 @@ def line_excess(docs: DataFrame, lines: DataFrame, source: tuple[str, ...] = ("d
     rate = (F.col("all_pages") - F.col("pages") + 0.5) / (outside + 1)
     return tested.select(
         *source, "key", "pages", "source_pages", (F.col("all_pages") - F.col("pages")).alias("outside_pages"),
-        _ratio(F.col("pages"), F.col("source_pages"), F.least(rate, F.lit(tolerated))).alias("ratio"),
+        _ratio(F.col("pages"), F.col("source_pages"), F.least(rate, F.lit(tolerated), F.lit(1 - 1e-9))).alias("ratio"),
     )
 
 
@@ -119,13 +110,27 @@ def repeated_lines(
     per id.
     """
     lines = line_table(docs, id_col, text_col, source)
-    found = excessive(materialize(line_excess(docs, lines, source, least=least), "excess"), false_rate)
+    found = excessive(materialize(line_excess(docs, lines, source, least=min(least, TESTED_PAGES)), "excess"), false_rate)
     found = found.where((F.col("pages") >= least) & (F.col("pages") >= share * F.col("source_pages")))
     held = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in source]
-    at = lines.where("key <> ''").select("id", "line_no", *held, key_bytes(F.col("key")).alias("key"))
+    at = lines.select("id", "line_no", *held, key_bytes(F.col("key")).alias("key"))
     return at.join(found.select(*source, "key"), [*source, "key"], "left_semi").select("id", "line_no").distinct()
 
 
+def tested_lines(docs: DataFrame, tolerated: float = 1.0, false_rate: float = FALSE_RATE) -> DataFrame:
+    """(domain, shard, key, pages, source_pages, outside_pages, ratio, excess) of every line on two pages of its source or more.
+
+    ``excess`` says whether the test calls it more frequent in its source than
+    outside. By default the outside rate counts in full, so that what all
+    sources share is no excess of any of them.
+    """
+    tested = materialize(line_excess(docs, line_table(docs), tolerated=tolerated), "excess")
+    found = excessive(tested, false_rate).select("domain", "shard", "key", F.lit(True).alias("excess"))
+    return tested.join(found, ["domain", "shard", "key"], "left").select(
+        "domain", "shard", F.lower(F.hex("key")).alias("key"), "pages", "source_pages", "outside_pages", F.round("ratio", 4).alias("ratio"), F.coalesce("excess", F.lit(False)).alias("excess")
+    )
+
+
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """(id, text): each page without the repeated lines, in the order of its lines.
 

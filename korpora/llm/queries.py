@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from korpora.llm import boilerplate, distinctive, encode, forms, language, lines, packing, splitting, truncation
 from korpora.session import materialize
@@ -35,6 +36,10 @@ def p4_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeated_lines(table(spark, sf_dir, "docs"))
 
 
+def p4_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.tested_lines(table(spark, sf_dir, "docs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "docs")).select("id", "field").distinct()
 
@@ -51,16 +56,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_forms(spark, sf_dir).where("size(issues) > 0").select("place", "shard", "row_key").distinct()
 
 
-def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.term_scores(table(spark, sf_dir, "postings"), table(spark, sf_dir, "docs"))
-
-
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p7(spark, sf_dir).where("w >= 6 AND df_shard BETWEEN 2 AND 6").select("doc_id", "term")
+    heavy = F.expr("w >= 6 AND df_shard BETWEEN 2 AND 6")
+    return distinctive.characteristic_terms(table(spark, sf_dir, "postings"), table(spark, sf_dir, "docs"), heavy).select("doc_id", "term")
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p7(spark, sf_dir)
+    scores = distinctive.term_scores(table(spark, sf_dir, "postings"), table(spark, sf_dir, "docs"))
+    return scores.withColumn("score", F.round("score", 6))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_profiles"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_articles, p4_found, p4_clean_pages, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_articles, p4_found, p4_clean_pages, p4_excess, p5_found, p5_rates, p6_found, p6_forms, p7_found, p7_scores, p8_ids, p9_containers, p9_fill, p10_pieces)}
 
 
 
@@ -109,13 +112,29 @@ def _sql_nfkc(text: str) -> str:
     return f"nfc_normalize({out})"
 
 
-SQL = {
-    "p4_found": f"""
+_LINES = f"""
 WITH l AS (SELECT id, domain, shard, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT id, domain, shard, string_split({_sql_nfkc("text")}, chr(10)) AS ls FROM docs)),
 k AS (SELECT id, coalesce(domain, '') AS domain, coalesce(shard, -1) AS shard, line_no, regexp_replace(lower(line), '\\P{{L}}+', '', 'g') AS key FROM l),
 n AS (SELECT coalesce(domain, '') AS domain, coalesce(shard, -1) AS shard, count(*) AS pages FROM docs GROUP BY 1, 2),
-c AS (SELECT domain, shard, key, count(DISTINCT id) AS on_pages FROM k WHERE key <> '' GROUP BY ALL)
-SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN c USING (domain, shard, key) JOIN n USING (domain, shard) WHERE on_pages >= 4 AND on_pages >= 0.05 * pages""",
+c AS (SELECT domain, shard, key, count(DISTINCT id) AS on_pages FROM k WHERE key <> '' GROUP BY ALL),
+found AS (SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN c USING (domain, shard, key) JOIN n USING (domain, shard) WHERE on_pages >= 4 AND on_pages >= 0.05 * pages)"""
+
+SQL = {
+    "p4_found": _LINES + " SELECT id, line_no FROM found",
+    "p4_clean_pages": _LINES + """, gone AS (SELECT id, list(line_no) AS nos FROM found GROUP BY id), raw AS (SELECT id, text, string_split(text, chr(10)) AS ls FROM docs)
+SELECT id, CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nos, CAST(i AS INTEGER))), chr(10)) END AS text FROM raw LEFT JOIN gone USING (id)""",
+    "p7_scores": """
+WITH live AS (SELECT DISTINCT shard, doc_id, term, w, coalesce(f0, 0) + coalesce(f1, 0) + coalesce(f2, 0) AS f, pos FROM postings WHERE doc_id <> 0 AND term <> ''),
+tok AS (SELECT DISTINCT shard, doc_id, term, unnest(pos) AS at FROM live),
+near AS (SELECT a.shard, a.doc_id, a.term, b.term AS other FROM tok a JOIN (SELECT *, unnest([1, 2, 3]) AS k FROM tok) b ON a.shard = b.shard AND a.doc_id = b.doc_id AND a.at = b.at - b.k WHERE a.term <> b.term),
+edges AS (SELECT shard, doc_id, term, other FROM near UNION SELECT shard, doc_id, other, term FROM near),
+deg AS (SELECT shard, doc_id, term, count(*) AS degree FROM edges GROUP BY ALL),
+len AS (SELECT shard, doc_id, sum(f) AS page_len FROM live GROUP BY ALL),
+ds AS (SELECT shard, term, count(*) AS df_shard FROM live GROUP BY ALL),
+dt AS (SELECT term, count(*) AS df FROM live GROUP BY term),
+c AS (SELECT count(DISTINCT id) AS pages, avg(len) FILTER (len > 0) AS mean FROM docs)
+SELECT shard, doc_id, term, w, coalesce(degree, 0) AS degree, df_shard, df, round(coalesce(degree, 0) / (1 - 0.003 + 0.003 * page_len / mean) * ln((pages + 1) / df), 6) AS score
+FROM live LEFT JOIN deg USING (shard, doc_id, term) JOIN len USING (shard, doc_id) JOIN ds USING (shard, term) JOIN dt USING (term) CROSS JOIN c""",
     "p7_found": """
 WITH live AS (SELECT DISTINCT shard, doc_id, term, w FROM postings WHERE doc_id <> 0 AND term <> ''),
 df AS (SELECT shard, term, count(DISTINCT doc_id) AS n FROM live GROUP BY shard, term)

@@ -26,8 +26,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpora.functions.text import composed
-from korpora.llm.boilerplate import _flat, letters
+from korpora.llm.boilerplate import _flat
 from korpora.llm.forms import LATIN_OF
+from korpora.llm.lines import letters
 from korpora.session import materialize
 
 FIELDS = ("title", "description", "text")
