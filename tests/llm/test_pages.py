@@ -1,6 +1,7 @@
 """Operators on pages: language, furniture, repeated lines, truncation, forms, distinctive terms."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -58,6 +59,37 @@ def test_lines_are_alike_by_letters(spark):
     assert clean == {1: "own one", 2: "", 3: "", 4: "own two\n12 34", 5: "12 34"}
 
 
+def test_excess_against_other_sources_equals_brute_force(spark):
+    """Lines that only one source repeats are called excessive, those that all sources repeat alike are not; ratios and the rule by hand."""
+    random.seed(8)
+    rows, at = [], 0
+    for d in range(6):
+        for k in range(60):
+            own = [f"Own of {'abcdef'[d]}"] * (random.random() < 0.3) + ["Shared by all"] * (random.random() < 0.5) + [f"{'xyz'[k % 3] * (at % 7 + 1)} words"]
+            rows.append({"domain": f"d{d}.example", "text": "\n".join(own)})
+            at += 1
+    got = {(r["domain"], r["key"]): r for r in lines.tested_lines(pages(spark, *rows)).collect()}
+    per, size = collections.defaultdict(set), collections.Counter(r["domain"] for r in rows)
+    for i, r in enumerate(rows):
+        for line in r["text"].split("\n"):
+            per[r["domain"], hashlib.md5("".join(c for c in line.lower() if c.isalpha()).encode()).hexdigest()].add(i)
+    total, ratios = collections.Counter(), {}
+    for (_, key), on in per.items():
+        total[key] += len(on)
+    for (d, key), on in per.items():
+        k, n, out = len(on), size[d], len(rows) - size[d]
+        p, p0 = k / n, (total[key] - k + 0.5) / (out + 1)
+        if k >= 2:
+            ratios[d, key] = 2 * (k * math.log(p / p0) + (n - k) * math.log((1 - p) / (1 - p0)) if k < n else k * math.log(p / p0)) if p > p0 else 0.0
+    assert set(got) == set(ratios) and all(got[x]["ratio"] == pytest.approx(v, abs=1e-3) for x, v in ratios.items())
+    ps = sorted((math.erfc(math.sqrt(math.floor(v * lines.STEPS_PER_UNIT) / lines.STEPS_PER_UNIT / 2)), x) for x, v in ratios.items())
+    last = max((i for i, (p, _) in enumerate(ps, 1) if p <= lines.FALSE_RATE * i / len(ps)), default=0)
+    assert {x for x, r in got.items() if r["excess"]} == {x for _, x in ps[:last]}
+    name = {hashlib.md5(t.encode()).hexdigest(): t for t in ("sharedbyall", *(f"ownof{c}" for c in "abcdef"))}
+    called = collections.Counter(name[key][:3] for (_, key), r in got.items() if r["excess"] and key in name)
+    assert called["own"] == 6 and called["sha"] <= 1
+
+
 def test_lines_of_odd_rows(spark):
     assert lines.repeated_lines(odd(spark)).count() >= 0 and lines.repeated_lines(odd(spark).limit(0)).count() == 0
 
@@ -97,6 +129,22 @@ def test_forms_are_stable_and_undo_look_alikes(spark, samples):
     assert back >= 0.97 * len(words)
 
 
+def test_forms_of_either_script(samples, spark):
+    """Latin letters in words of another script become its own; letters with marks keep them."""
+    lattice = forms.fit_lattice(samples)
+    cases = {"мoсква": "москва", "кoт": "кот", "Кофе": "Кофе", "пpивeт": "привет", "λόγoς": "λόγος", "noёl": "noël", "vіеw": "view", "lighthоusе": "lighthouse", "Вrіdgе": "Bridge"}
+    assert {w: forms.consistent(w, lattice)[0] for w in cases} == cases
+    random.seed(6)
+    words, back = "вода молоко дорога погода хорошо время человек работа сегодня завтра".split(), 0
+    for w in words * 4:
+        i = random.choice([i for i, c in enumerate(w) if c in forms.LATIN_OF])
+        other = w[:i] + forms.LATIN_OF[w[i]] + w[i + 1 :]
+        form, issues = forms.consistent(other, lattice)
+        assert issues == (["mixed"] if forms.mixed(other) else []) and forms.consistent(form, lattice)[0] == form
+        back += form == w
+    assert back >= 0.95 * 4 * len(words)
+
+
 def test_forms_of_odd_rows(spark, samples):
     terms = spark.createDataFrame([(None, None, None, None), ("t", "ｔ", 1, 0)], "term string, display string, df int, shard int")
     got = forms.consistent_forms(odd(spark), terms, samples.limit(0)).collect()
