@@ -1,4 +1,9 @@
-"""Ranking a batch of queries in one plan."""
+"""Ranking a batch of queries in one plan.
+
+A table of queries holds at most ``MAX_QUERIES`` rows, so it goes to every task;
+larger sets are answered in blocks (``blocks_of``). Candidates are never
+partitioned by their query alone.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,15 @@ AUTHORITY, PHRASE, FRESH = 0.35, 0.20, 0.05
 SOFT_SHARE, RELAX_UNDER = 0.6, 5
 PER_DOMAIN = 3
 
+#: Queries of one plan at most; of 500 characters each, with their terms, a few megabytes.
+MAX_QUERIES = 10_000
+
+
+def blocks_of(queries: DataFrame) -> list[DataFrame]:
+    """The rows of a stored table of queries in blocks of about half of ``MAX_QUERIES``, by a hash of their qid."""
+    n = -(-queries.count() * 2 // MAX_QUERIES)
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries]
+
 
 def freshness(fetched_at: Column, now: Column) -> Column:
     """1 + 0.05 e^(-age in days / 365); 1 for an unknown time, and no age under 0."""
@@ -31,7 +45,7 @@ def query_postings(queries: DataFrame, index: Index) -> DataFrame:
     asked = queries.select("qid", "required", F.explode(F.array_distinct("terms")).alias("term"))
     known = asked.join(index.terms.select("term", "df"), "term").join(F.broadcast(index.stats.select("n_docs")))  # one row
     terms = known.select("qid", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), F.array_contains("required", F.col("term")).alias("needed"))
-    return terms.join(index.postings.where("head").select("term", "doc_id", "w", "f0", "f1", "pos"), "term")
+    return F.broadcast(terms).join(index.postings.where("head").select("term", "doc_id", "w", "f0", "f1", "pos"), "term")
 
 
 def has_phrase(places: Column, phrase: Column) -> Column:
@@ -63,8 +77,8 @@ def candidates(queries: DataFrame, index: Index) -> DataFrame:
         F.collect_list(F.struct("term", "idf", "w", "f0", "f1", "needed", "pos")).alias("hits"), F.sum(F.col("needed").cast("int")).alias("n_needed")
     )
     docs = index.docs.select(F.col("id").alias("doc_id"), "domain", "len", "fetched_at")
-    placed = grouped.join(queries.drop("excluded"), "qid").join(docs, "doc_id").where(F.col("site").isNull() | of_site(F.col("domain"), F.col("site")))
-    ruled_out = queries.select("qid", F.explode("excluded").alias("term")).join(index.postings.select("term", "doc_id"), "term").select("qid", "doc_id")
+    placed = grouped.join(F.broadcast(queries.drop("excluded")), "qid").join(docs, "doc_id").where(F.col("site").isNull() | of_site(F.col("domain"), F.col("site")))
+    ruled_out = F.broadcast(queries.select("qid", F.explode("excluded").alias("term"))).join(index.postings.select("term", "doc_id"), "term").select("qid", "doc_id")
     kept = placed.join(ruled_out, ["qid", "doc_id"], "left_anti")
     return kept.where(F.forall("phrases", lambda p: has_phrase(_places(F.col("hits")), p)))
 
@@ -80,14 +94,16 @@ def enough(required: Column) -> Column:
 
 
 def pool(cands: DataFrame) -> DataFrame:
-    """Candidates with enough of the needed terms, or with one of them where that leaves a query fewer than five.
+    """Candidates with enough of the needed terms, or with one of them where that leaves a query fewer than five; and their ``total``.
 
-    The candidates of a query are counted before they move, and the counts join
-    them; no task holds all of a query's candidates.
+    The candidates of a query are counted before they move, and the counts, one
+    row a query, join them; no task holds all of a query's candidates.
     """
-    strict = cands.where(F.col("n_needed") >= enough(F.col("required"))).groupBy("qid").agg(F.count("*").alias("_strict"))
-    relaxed = F.coalesce("_strict", F.lit(0)) < RELAX_UNDER
-    return cands.join(strict, "qid", "left").where(F.col("n_needed") >= F.when(relaxed, 1).otherwise(enough(F.col("required")))).drop("_strict")
+    fit = F.col("n_needed") >= enough(F.col("required"))
+    counts = cands.groupBy("qid").agg(F.count_if(fit).alias("_strict"), F.count_if(F.col("n_needed") >= 1).alias("_any"))
+    relaxed = F.col("_strict") < RELAX_UNDER
+    kept = cands.join(F.broadcast(counts), "qid").where(F.col("n_needed") >= F.when(relaxed, 1).otherwise(enough(F.col("required"))))
+    return kept.withColumn("total", F.when(relaxed, F.col("_any")).otherwise(F.col("_strict"))).drop("_strict", "_any")
 
 
 def score(queries: DataFrame, index: Index, authority: DataFrame, now: Column) -> DataFrame:
@@ -110,7 +126,7 @@ def score(queries: DataFrame, index: Index, authority: DataFrame, now: Column) -
         .withColumn("fresh_factor", freshness(F.col("fetched_at"), now))
         .withColumn("score", F.col("bm25") * F.col("authority_factor") * F.col("proximity_factor") * F.col("fresh_factor"))
         .select(
-            "qid", "doc_id", "domain", "score", "bm25", "authority_factor", "proximity_factor", "fresh_factor", "required", "n_needed", "len", "fetched_at",
+            "qid", "doc_id", "domain", "score", "bm25", "authority_factor", "proximity_factor", "fresh_factor", "required", "n_needed", "len", "fetched_at", "total",
             F.array_sort(F.transform("hits", lambda h: h["term"])).alias("matched"),
             F.array_sort(F.transform(needed, lambda h: h["term"])).alias("matched_needed"),
             titled.alias("in_title"),
@@ -141,6 +157,5 @@ def diversify(scored: DataFrame, first: int | None = None) -> DataFrame:
 
 def page_of(scored: DataFrame, page: int = 1, per_page: int = 10) -> DataFrame:
     """The rows of one page of diversified results, with the total and the number of pages of each query."""
-    totals = scored.groupBy("qid").agg(F.count("*").alias("total"))
     rows = diversify(scored, page * per_page).where(F.col("place") > (page - 1) * per_page)
-    return rows.join(totals, "qid").withColumn("total_pages", F.greatest(F.ceil(F.col("total") / per_page), F.lit(1)))
+    return rows.withColumn("total_pages", F.greatest(F.ceil(F.col("total") / per_page), F.lit(1)))

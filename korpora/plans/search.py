@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,8 +135,11 @@ def answered(searches: DataFrame, index: Index, authority: DataFrame, at: Column
     """
     asked = searches.select("search_id", "q").where("search_id IS NOT NULL AND trim(q) <> ''").distinct()
     distinct = materialize(query.query_table_of(asked.groupBy("q").agg(F.min("search_id").alias("qid"))), "asked")
-    scored = rank.score(distinct, index, authority, at).select("qid", "doc_id", "domain", F.round("score", 4).alias("score"))
-    hits = rank.diversify(scored, first).select("qid", "place", "doc_id", "score")
+    found = []
+    for block in rank.blocks_of(distinct):
+        scored = rank.score(block, index, authority, at).select("qid", "doc_id", "domain", F.round("score", 4).alias("score"))
+        found.append(materialize(rank.diversify(scored, first).select("qid", "place", "doc_id", "score"), "hits"))
+    hits = functools.reduce(DataFrame.unionByName, found)
     by_query = asked.select("search_id", F.min("search_id").over(W.partitionBy("q")).alias("qid"))
     return by_query.join(hits, "qid").select("search_id", "place", "doc_id", "score")
 
