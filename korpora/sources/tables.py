@@ -43,8 +43,8 @@ def write_clustered(df: DataFrame, path: str, key: str, partitions: int | None =
     """Write a table range-clustered by ``key``.
 
     Row-group statistics then prune nearly all of it for point and ``IN``
-    lookups on the key. The job commits atomically: a reader of ``path`` sees
-    the old table or the new one.
+    lookups on the key. The old table is deleted before the new one is there;
+    ``index_store`` keeps versions for tables that are read meanwhile.
     """
     ranged = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
     ranged.sortWithinPartitions(key).write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -157,3 +157,48 @@ def test_intermediate_tables_can_be_released(spark):
     (path,) = _written
     assert path.startswith(shared_dir(spark)) and release(spark) == 1
     _written[:] = kept
+
+
+def test_hosts_are_asked_side_by_side_within_a_budget(spark, monkeypatch):
+    from korpora.operators import discovery
+
+    monkeypatch.setattr(discovery, "SLICE_ROWS", 3)
+    rows = [(f"https://{'ab'[i % 2]}.example/{i}", i, 100 + 50 * i) for i in range(12)] + [("junk", 12, 1), ("https://c.example", 13, None)]
+    got = {r["url"]: (r["starts"], r["outcome"]) for r in discovery.fetch_schedule(spark.createDataFrame(rows, "url string, at int, ms int"), 300, 1600).collect()}
+    clock, want = {}, {}
+    for url, _, ms in rows:
+        if url.startswith("http"):
+            host, ms = url[8], ms or 0
+            at = clock.get(host, 0)
+            want[url] = (at, "fetched" if at + ms <= 1600 else "remaining")
+            clock[host] = at + max(ms, 300)
+    assert got == want and any(o == "remaining" for _, o in want.values())
+
+
+def test_discovered_pages_join_a_stored_index(spark, tmp_path):
+    import datetime
+
+    from korpora import cli
+    from korpora.operators import discovery
+    from korpora.operators.index import build_index
+    from korpora.sources.index_store import drop_versions, open_index, save_index
+
+    schema = "id bigint, url string, title string, description string, text string, links array<string>, lang string, fetched_at timestamp"
+    at = datetime.datetime(2026, 1, 1)
+    index = build_index(spark.createDataFrame([(1, "https://a.example/1", "kelp", "", "rope", [], None, at)], schema))
+    web = spark.createDataFrame(
+        [("https://b.example/2", 10, False, False, 2, "lamp", "", "kelp lamp", ["https://a.example/1"], None, at), ("https://b.example/3", 10, False, True, 3, "x", "", "y", [], None, at), ("https://b.example/4", 9000, False, False, 4, "late", "", "", [], None, at)],
+        "url string, ms int, error boolean, noindex boolean, " + schema.replace("url string, ", ""),
+    )
+    found = spark.createDataFrame([(f"https://b.example/{k}#x", k) for k in (2, 3, 4, 5)] + [("https://a.example/1", 0), (None, 9)], "url string, at int")
+    grown = discovery.expand(index, found, web)
+    assert {r["url"][-1]: r["outcome"] for r in grown.outcomes.collect()} == {"1": "known", "2": "indexed", "3": "skipped", "4": "remaining", "5": "remaining"}
+    assert {r["outcome"] for r in discovery.expand(index, found, web, budget=None).outcomes.collect()} == {"known", "indexed", "skipped", "error"}
+    assert grown.index.edges.count() == 1 and {r["df"] for r in grown.index.terms.where("term = 'kelp'").collect()} == {2}
+    folder = str(tmp_path / "index")
+    save_index(index, folder)
+    save_index(grown.index, folder)
+    assert drop_versions(spark, folder) == 1 and open_index(spark, folder, cached=True).docs.count() == 2
+    assert cli.main(["doctor", folder]) == 0 and cli.main(["suggest", folder, "ke"]) == 0
+    with __import__("pytest").raises(FileNotFoundError):
+        open_index(spark, str(tmp_path / "none"))
