@@ -127,9 +127,9 @@ def retention(usage: DataFrame, today: Column, days: int = USAGE_DAYS) -> DataFr
 def effective_settings(patches: DataFrame) -> DataFrame:
     """(owner, key, value, error) from patches (owner, at, key, value): the last valid value of each key, else the default.
 
-    A patch with an unknown key or an invalid value is an error row and changes nothing.
+    A patch with an unknown key or an invalid (or null) value is an error row and changes nothing.
     """
-    v = F.col("value")
+    v = F.coalesce("value", F.lit(""))
     valid = (
         F.when(F.col("key") == "resultsPerPage", v.rlike(r"^\d{1,2}$") & v.try_cast("int").between(5, 50))
         .when(F.col("key") == "theme", v.isin("system", "light", "dark"))

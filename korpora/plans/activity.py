@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def history_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_recent_capped(spark: SparkSession, d: str) -> DataFrame:
-    return activity.recent_history(_entries(spark, d), now(), cap=20).select("owner", "q", "last_at", F.col("nth").cast("bigint").alias("nth"))
+    return activity.recent_history(_entries(spark, d), now()).select("owner", "q", "last_at", F.col("nth").cast("bigint").alias("nth"))
 
 
 def history_retention(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).where(F.col("last_at") >= now() - F.expr("INTERVAL 30 DAYS")).groupBy("owner").agg(F.count("*").alias("n"))
+    return _entries(spark, d).where(F.col("last_at") >= now() - F.expr("INTERVAL 90 DAYS")).groupBy("owner").agg(F.count("*").alias("n"))
 
 
 def history_merge_owners(spark: SparkSession, d: str) -> DataFrame:
@@ -61,34 +63,43 @@ def thin_result_queries(spark: SparkSession, d: str) -> DataFrame:
     return activity.thin_searches(_searches(spark, d)).groupBy("q").agg(F.count("*").alias("n"))
 
 
-_PATCHES = (
-    ("a", 1, "theme", "dark"), ("a", 2, "theme", "blue"), ("a", 3, "resultsPerPage", "50"), ("a", 4, "resultsPerPage", "51"),
-    ("b", 1, "saveHistory", "false"), ("b", 2, "saveHistory", "true"), ("b", 3, "constructor", "1"),
-)
-_RESULTS = (("r1", "one", 1, True, 0), ("r1", "two", 2, True, 5), ("r1", "three", 3, True, 9), ("r2", "one", 1, False, 0), ("r2", "three", 3, True, 1), ("r3", "one", 1, False, 3))
-_ROBOTS = (
-    ("https://a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: korporabot\nCrawl-delay: 2\nDisallow: /only # note\nDisallow:\n"),
-    ("https://b.example", "User-agent: x\nUser-agent: *\nDisallow: /p\nAllow: /p\nDisallow: /a*b\n"),
-)
-_PATHS = ("/", "/private/x", "/private/open/y", "/f.pdf", "/f.pdfx", "/only", "/p", "/aXXb/c", "/ab")
+#: Patches of settings, answers of providers, robots files and statuses made of the tables' rows, the same text for both engines.
+PATCH = """CASE pmod(search_id, 5) WHEN 0 THEN 'resultsPerPage' WHEN 1 THEN 'theme' WHEN 2 THEN 'saveHistory' WHEN 3 THEN 'suggestions' ELSE 'constructor' END AS key,
+  CASE pmod(search_id, 5) WHEN 0 THEN CAST(pmod(total, 70) AS VARCHAR(9)) WHEN 1 THEN CASE pmod(search_id, 4) WHEN 0 THEN 'dark' WHEN 1 THEN 'light' WHEN 2 THEN 'blue' ELSE 'system' END
+    ELSE CASE pmod(search_id, 3) WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'TRUE' END END AS value"""
+ROBOTS = """CASE pmod(length(domain), 3)
+  WHEN 0 THEN concat('User-agent: *', chr(10), 'Disallow: /a', chr(10), 'Allow: /ab # more', chr(10), 'Disallow: /*1$', chr(10), 'Crawl-delay: 2')
+  WHEN 1 THEN concat('User-agent: Some', chr(10), 'User-agent: other', chr(13), chr(10), 'Disallow: /', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow:')
+  ELSE concat('# all', chr(10), 'user-agent: KORPORA', chr(10), 'DISALLOW: /*o*e', chr(10), 'allow: /', chr(10), 'User-agent: *', chr(10), 'Disallow: /') END"""
+ANSWER_COLUMNS = ["pmod(k + search_id, 3) AS priority", "pmod(search_id + 2 * k, 5) <> 0 AS ok", "coalesce(pmod(total, k + 2), 0) AS n"]
+STATUS = "CASE pmod(id, 7) WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 301 WHEN 3 THEN 404 WHEN 4 THEN 500 WHEN 5 THEN 503 END"
 
 
 def settings_effective(spark: SparkSession, d: str) -> DataFrame:
-    return activity.effective_settings(spark.createDataFrame(_PATCHES, "owner string, at int, key string, value string"))
+    patches = _searches(spark, d).where("owner IS NOT NULL").selectExpr("owner", "search_id AS at", *[f"{x} AS {n}" for x, n in _parts(PATCH)])
+    return activity.effective_settings(patches)
+
+
+def _parts(text: str) -> list[tuple[str, str]]:
+    """The two columns of PATCH."""
+    key, value = text.split(" AS key,")
+    return [(key, "key"), (value.rsplit(" AS value", 1)[0], "value")]
 
 
 def provider_failover(spark: SparkSession, d: str) -> DataFrame:
-    return activity.provider_choice(spark.createDataFrame(_RESULTS, "request string, provider string, priority int, ok boolean, n int"))
+    rows = _searches(spark, d).select("search_id", "total", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return activity.provider_choice(rows.selectExpr("search_id AS request", "concat('p', k) AS provider", *ANSWER_COLUMNS))
 
 
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
-    rules = robots.choose_group(robots.parse(spark.createDataFrame(_ROBOTS, "origin string, text string")), "otherbot/1.0")
-    paths = spark.createDataFrame([(o, p) for o, _ in _ROBOTS for p in _PATHS], "origin string, path string")
+    docs = table(spark, d, "docs").where("domain IS NOT NULL AND url IS NOT NULL")
+    rules = robots.choose_group(robots.parse(docs.select(F.col("domain").alias("origin")).distinct().withColumn("text", F.expr(ROBOTS.replace("domain", "origin")))), "korporabot/1.0")
+    paths = docs.select(F.col("domain").alias("origin"), F.regexp_extract("url", "^https?://[^/]+(.*)$", 1).alias("path")).distinct()
     return robots.allowed(paths, rules)
 
 
 def fetch_policies(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(200,), (204,), (301,), (404,), (500,), (503,), (None,)], "status int").select("status", robots.fetch_policy(F.col("status")).alias("policy"))
+    return table(spark, d, "docs").select("id", robots.fetch_policy(F.expr(STATUS)).alias("policy"))
 
 
 def fresh_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +129,13 @@ QUERIES = {
     )
 }
 
+
+
+def _sql_mod(text: str) -> str:
+    """The same expression for DuckDB, whose modulo of what is not negative is that of Spark."""
+    return re.sub(r"pmod\(([^,()]+), ([^()]+?)\)", r"((\1) % (\2))", text)
+
+
 _ONCE = "WITH once AS (SELECT DISTINCT * FROM searches)"
 _RUNS = (
     _ONCE
@@ -129,8 +147,8 @@ _ORDER = "ORDER BY last_at DESC, first_at DESC, q"
 SQL = {
     "searches_once": _ONCE + " SELECT search_id, owner, q, searched_at FROM once",
     "history_collapsed": _RUNS + " SELECT owner, q, first_at, last_at, times, total FROM entries",
-    "history_recent_capped": _RUNS + f" SELECT owner, q, last_at, row_number() OVER (PARTITION BY owner {_ORDER}) AS nth FROM entries WHERE last_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY QUALIFY nth <= 20",
-    "history_retention": _RUNS + f" SELECT owner, count(*) AS n FROM entries WHERE last_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY GROUP BY owner",
+    "history_recent_capped": _RUNS + f" SELECT owner, q, last_at, row_number() OVER (PARTITION BY owner {_ORDER}) AS nth FROM entries WHERE last_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY QUALIFY nth <= 200",
+    "history_retention": _RUNS + f" SELECT owner, count(*) AS n FROM entries WHERE last_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY GROUP BY owner",
     "history_merge_owners": _RUNS + f""", moved AS (SELECT * REPLACE ('u00017' AS owner) FROM entries WHERE owner IN ('anon', 'u00017') QUALIFY row_number() OVER ({_ORDER}) <= 200)
       SELECT owner, count(*) AS n, max(last_at) AS last_at FROM (SELECT * FROM entries WHERE owner NOT IN ('anon', 'u00017') UNION ALL SELECT * FROM moved) GROUP BY owner""",
     "usage_daily": _ONCE + " SELECT CAST(searched_at AS DATE) AS day, owner, count(*) AS used FROM once WHERE owner IS NOT NULL AND searched_at IS NOT NULL GROUP BY day, owner",
@@ -140,15 +158,19 @@ SQL = {
       runs(q, run_at) AS (SELECT q, min(t) FROM a GROUP BY q UNION ALL SELECT r.q, (SELECT min(x.t) FROM a x WHERE x.q = r.q AND x.t >= r.run_at + INTERVAL 6 HOUR) FROM runs r WHERE r.run_at IS NOT NULL)
       SELECT q, run_at FROM runs WHERE run_at IS NOT NULL""",
     "thin_result_queries": _ONCE + " SELECT q, count(*) AS n FROM once WHERE total < 3 GROUP BY q",
-    "settings_effective": """SELECT * FROM (VALUES ('a', 'theme', 'dark', NULL), ('a', 'resultsPerPage', '50', NULL), ('a', 'openInNewTab', 'false', NULL), ('a', 'autoExpandWhy', 'false', NULL), ('a', 'suggestions', 'true', NULL),
-      ('a', 'saveHistory', 'true', NULL), ('b', 'theme', 'system', NULL), ('b', 'resultsPerPage', '10', NULL), ('b', 'openInNewTab', 'false', NULL), ('b', 'autoExpandWhy', 'false', NULL), ('b', 'suggestions', 'true', NULL),
-      ('b', 'saveHistory', 'true', NULL), ('a', 'theme', 'blue', 'invalid_setting_value'), ('a', 'resultsPerPage', '51', 'invalid_setting_value'), ('b', 'constructor', '1', 'unknown_setting')) t(owner, key, value, error)""",
-    "provider_failover": "SELECT * FROM (VALUES ('r1', 'two'), ('r2', 'three')) t(request, provider)",
-    "robots_allowed": "WITH o(origin) AS (VALUES ('https://a.example'), ('https://b.example')), p(path) AS (VALUES "
-    + ", ".join(f"('{p}')" for p in _PATHS)
-    + """) SELECT origin, path, CASE WHEN origin LIKE '%a.example' THEN NOT (path LIKE '/private%' AND path NOT LIKE '/private/open%') AND path NOT LIKE '/%.pdf' ELSE NOT (path LIKE '/a%b%') END AS allowed FROM o, p""",
+    "settings_effective": f"""{_ONCE}, p AS (SELECT owner, search_id AS nth, {_sql_mod(PATCH)} FROM once WHERE owner IS NOT NULL),
+      e AS (SELECT *, CASE WHEN key = 'constructor' THEN 'unknown_setting' WHEN NOT coalesce(CASE key WHEN 'resultsPerPage' THEN try_cast(value AS INT) BETWEEN 5 AND 50 WHEN 'theme' THEN value IN ('system', 'light', 'dark')
+        ELSE value IN ('true', 'false') END, false) THEN 'invalid_setting_value' END AS error FROM p),
+      d(key, fallback) AS (VALUES ('resultsPerPage', '10'), ('openInNewTab', 'false'), ('autoExpandWhy', 'false'), ('suggestions', 'true'), ('saveHistory', 'true'), ('theme', 'system')),
+      l AS (SELECT owner, key, arg_max(value, nth) AS value FROM e WHERE error IS NULL GROUP BY owner, key)
+      SELECT o.owner, d.key, coalesce(l.value, d.fallback) AS value, NULL::VARCHAR AS error FROM (SELECT DISTINCT owner FROM p) o CROSS JOIN d LEFT JOIN l ON l.owner = o.owner AND l.key = d.key
+      UNION ALL SELECT owner, key, value, error FROM e WHERE error IS NOT NULL""",
+    "provider_failover": f"""{_ONCE}, r AS (SELECT search_id AS request, 'p' || k AS provider, {_sql_mod(', '.join(ANSWER_COLUMNS))} FROM (SELECT *, unnest([0, 1, 2]) AS k FROM once))
+      SELECT request, arg_min(provider, priority) AS provider FROM r WHERE ok AND n > 0 GROUP BY request""",
+    "robots_allowed": r"""WITH p AS (SELECT DISTINCT domain AS origin, regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS path FROM docs WHERE domain IS NOT NULL AND url IS NOT NULL)
+      SELECT origin, path, CASE length(origin) % 3 WHEN 0 THEN starts_with(path, '/ab') OR NOT (starts_with(path, '/a') OR (path LIKE '/%1')) AND true WHEN 1 THEN true ELSE NOT regexp_matches(path, '^/.*o.*e') END AS allowed FROM p""",
     "fresh_candidates": f"WITH {LIVE} SELECT DISTINCT u AS url FROM (SELECT unnest(list_transform(links, lambda x: {sql_url('x')})) AS u FROM live) WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM live)",
-    "fetch_policies": "SELECT * FROM (VALUES (200, 'parse'), (204, 'parse'), (301, 'allow_all'), (404, 'allow_all'), (500, 'deny_all'), (503, 'deny_all'), (NULL, 'allow_all')) t(status, policy)",
+    "fetch_policies": f"SELECT id, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s >= 500 THEN 'deny_all' ELSE 'allow_all' END AS policy FROM (SELECT id, {_sql_mod(STATUS)} AS s FROM docs)",
     "stream_daily_usage": "SELECT CAST(searched_at AS DATE) AS day, owner, count(*) AS used FROM searches WHERE owner IS NOT NULL AND searched_at IS NOT NULL GROUP BY day, owner",
     "stream_dedupe_urls": f"WITH {LIVE} SELECT url FROM live",
     "stream_session_history": """WITH t AS (SELECT owner, searched_at AS t, CASE WHEN searched_at - lag(searched_at) OVER o < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM searches WHERE owner IS NOT NULL AND searched_at IS NOT NULL WINDOW o AS (PARTITION BY owner ORDER BY searched_at)),
