@@ -49,6 +49,7 @@ BATCH_PAGES, HELD_COUNTS = 2000, 2_000_000
 _TAIL = r"[\s\x{a0}\x{200b}\x{feff}]*$"
 _MARK = r"(?:\.\.\.|&hellip;|\[(?:\.\.\.|&hellip;)\]|\(\.\.\.\)|\x{fffd})" + _TAIL
 _CLOSED = r"[.!?\x{3002}:][\"'\x{201d}\x{2019}\x{bb})\]]*" + _TAIL
+_INNER = r"[\p{L}\p{N}]{2,}[.!?][\"'”’»)\]]*\s+\S"  # a sentence's end within a line
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[.!?] ")
 _ASCII = r"^[\x00-\x{7f}]*$"
 
@@ -151,7 +152,7 @@ class _Counts:
 _NUMBERS = (
     ("source", pa.string(), "string"), ("field", pa.string(), "string"), ("chars", pa.int32(), "int"), ("bytes", pa.int32(), "int"), ("mark", pa.bool_(), "boolean"),
     ("closed", pa.bool_(), "boolean"), ("after", pa.string(), "string"), ("k0", pa.int64(), "bigint"), ("k1", pa.int64(), "bigint"), ("k2", pa.int64(), "bigint"),
-    ("line", pa.int64(), "bigint"), ("form", pa.string(), "string"), ("n_tokens", pa.int32(), "int"),
+    ("line", pa.int64(), "bigint"), ("form", pa.string(), "string"), ("n_tokens", pa.int32(), "int"), ("within", pa.bool_(), "boolean"),
     ("is_line", pa.bool_(), "boolean"), ("key", pa.int64(), "bigint"), ("ends", pa.int64(), "bigint"), ("goes_on", pa.int64(), "bigint"),
 )
 
@@ -213,7 +214,7 @@ def _measure(part: pa.RecordBatch, fields: tuple[str, ...], words: _Counts, line
             [
                 part.column("id").take(pa.array(rows)), part.column("source").take(pa.array(rows)), pa.array([f] * n), *(part.column(f"{u}_{f}").take(pa.array(rows)) for u in ("chars", "bytes")),
                 pa.array(mark), pa.array(closed), pa.array(after, pa.string()), *map(pa.array, keys), pa.array(_hashes(form).view(np.int64)), pc.if_else(open_, form, pa.scalar(None, pa.string())),
-                pa.array(count.astype(np.int32)), *(pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64())),
+                pa.array(count.astype(np.int32)), pc.match_substring_regex(last_line, _INNER), *(pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int64())),
             ]
         )
         # Equal values count once: the others are copies of one with a lower id.
@@ -291,13 +292,14 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
     ``why`` is 'mark' (ends in a mark of omission), 'spike' (at a spike of
     lengths without closing punctuation), 'page' (the page's text goes on where
-    the value ends) or 'open' (ends in words that the corpus goes on after).
+    the value ends) or 'open' (ends within a paragraph's sentence, or in words
+    that the corpus goes on after).
     Null and empty values are no cases; a null domain is a source of its own;
     repeated rows come out as often as they occur.
     """
     numbers = materialize(measured(docs, fields), "values")
     values = numbers.where("field IS NOT NULL")
-    narrow = values.select("id", "source", "field", "chars", "bytes", "mark", "closed", "after", "k0", "k1", "k2", "line", "form", "n_tokens")
+    narrow = values.select("id", "source", "field", "chars", "bytes", "mark", "closed", "after", "k0", "k1", "k2", "line", "form", "n_tokens", "within")
     spikes = materialize(length_spikes(values), "spikes")
     for unit in ("chars", "bytes"):
         own = spikes.where((F.col("unit") == unit) & (F.col("source") != "*")).select("source", "field", F.col("length").alias(unit), F.lit(True).alias(f"own_{unit}"))
@@ -313,11 +315,14 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         .when(is_title & F.col("after").rlike(r"^[\p{L}\p{N} ,:;(\x{2013}-]"), "page")
         .when(is_description & F.col("after").rlike(r"^[\p{L}\p{N},;]|^ [\p{Ll}\p{N}]"), "page"),
     )
-    judged = materialize(judged.where("why IS NULL OR why <> ''").select("id", "field", "why", "k0", "k1", "k2", "line", "form", "n_tokens"), "judged")
+    judged = materialize(judged.where("why IS NULL OR why <> ''").select("id", "field", "why", "k0", "k1", "k2", "line", "form", "n_tokens", "within"), "judged")
     sure = judged.where("why IS NOT NULL").select("id", "field", "why")
     open_ = judged.where("why IS NULL AND n_tokens > 0")
-    left = open_.join(whole_lines(docs, fields, numbers, open_), "line", "left_anti")
-    keyed = materialize(left.select("id", "field", F.posexplode(F.array("k0", "k1", "k2")).alias("level", "key")), "open_keys")
+    left = materialize(open_.join(whole_lines(docs, fields, numbers, open_), "line", "left_anti"), "open_values")
+    # A paragraph of a text whose sentences end in marks closes its last one too.
+    paragraph = (F.col("field") == "text") & F.col("within")
+    broken = left.where(paragraph)
+    keyed = materialize(left.where(~paragraph).select("id", "field", F.posexplode(F.array("k0", "k1", "k2")).alias("level", "key")), "open_keys")
     counts = numbers.where("NOT is_line").select("key", "ends", "goes_on").join(keyed.select("key").distinct(), "key", "left_semi")
     seen = keyed.join(counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")), "key", "left").groupBy("id", "field").agg(
         *[F.max(F.when(F.col("level") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}") for k in range(3) for c in ("ends", "goes_on")]
@@ -328,7 +333,7 @@ def truncated(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         ends = F.col(f"ends{k}") - own
         n = ends + F.col(f"goes_on{k}")
         rate = F.when((ends > 0) | (n >= (EXACT_COUNT if k > 0 else 1)), ends / n).otherwise(rate)
-    return sure.unionByName(seen.where(rate < OPEN_RATE).select("id", "field", F.lit("open").alias("why")))
+    return sure.unionByName(seen.where(rate < OPEN_RATE).unionByName(broken, allowMissingColumns=True).select("id", "field", F.lit("open").alias("why")))
 
 
 def truncation_rates(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

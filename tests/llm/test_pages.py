@@ -316,6 +316,16 @@ def test_whole_lines_are_not_shown_by_cut_ones(spark):
     assert {r["text"] for r in got} == {"Contact us", "Soon it"}
 
 
+def test_paragraphs_end_in_marks(spark):
+    """A text that ends within a sentence of a paragraph was cut, whatever its last word; a repeated line of the page's furniture and a heading were not."""
+    whole = [f"The mill number {k} was mended. It stands by the river.\nLike it? Pass it on\nAbout the crew\nAll rights held." for k in range(12)]
+    cut = ["The mill was mended. It stands by the", "The town is old. The river", "One sentence.\nIt was mended. It stands by the ri"]
+    kept = ["The lamp is lit.\nLike it? Pass it on", "The lamp is lit.\nAbout the crew"]
+    rows = [{"text": t, "domain": f"d{k}.example"} for k, t in enumerate(whole + cut + kept)]
+    got = {r["id"]: r["why"] for r in truncation.truncated(pages(spark, *rows)).collect()}
+    assert got == {13: "open", 14: "open", 15: "open"}
+
+
 def test_words_are_counted_by_their_ends(spark):
     """Keys of the last words of lines against a count by hand; equal values count once."""
     texts = ["The old lamp. The new lamp", "A lamp\nThe old lamp, 12 of them.", "A lamp\nThe old lamp, 12 of them."]
