@@ -18,7 +18,8 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the public vocabularies; every function takes another as a parameter.
@@ -147,10 +148,27 @@ class PrefixBPE:
 _encoders: dict[str, tuple[PrefixBPE, dict[str, list[int]]]] = {}
 
 
+def vocabulary_file(spark: SparkSession, tokenizer_dir: str | None = None, vocabulary: str = VOCABULARY) -> str:
+    """Path of a vocabulary on the driver, sent to all executors once per application.
+
+    Workers read what was sent; of two files of one name only the first is, and
+    the other one is read at its path.
+    """
+    path = f"{tokenizer_dir or TOKENIZER_DIR}/{vocabulary}"
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_korpora_files", {})
+    if os.path.basename(path) not in sent:
+        sent[os.path.basename(path)] = path
+        context.addFile(path)
+    return path if sent[os.path.basename(path)] != path else os.path.basename(path) + "@" + path
+
+
 def encoder(path: str) -> tuple[PrefixBPE, dict[str, list[int]]]:
     """The encoder of a vocabulary file and its memory of words, once per worker."""
     if path not in _encoders:
-        _encoders[path] = PrefixBPE(path), {}
+        name, _, own = path.rpartition("@")
+        local = SparkFiles.get(name) if name else own
+        _encoders[path] = PrefixBPE(local if os.path.exists(local) else own), {}
     return _encoders[path]
 
 
@@ -218,7 +236,7 @@ def encode(
     ids); columns other than the two named are ignored, whatever their names.
     Nothing is shuffled.
     """
-    path = f"{tokenizer_dir or TOKENIZER_DIR}/{vocabulary}"
+    path = vocabulary_file(docs.sparkSession, tokenizer_dir, vocabulary)
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         batch = WordBatch(part.column(1), path)
@@ -234,7 +252,7 @@ def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str | None = None, vocabulary: str = VOCABULARY
 ) -> DataFrame:
     """(id, n_tokens): as ``encode``, but only the number of tokens."""
-    path = f"{tokenizer_dir or TOKENIZER_DIR}/{vocabulary}"
+    path = vocabulary_file(docs.sparkSession, tokenizer_dir, vocabulary)
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         return [part.column(0), pa.array(WordBatch(part.column(1), path).counts())]

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Items of one size that one task numbers.
 BUCKET_ROWS = 250_000
+#: Profiles that one call packs for.
+MAX_PROFILES = 100
 
 
 class _Bins:
@@ -120,17 +122,26 @@ class _Lookup:
         self.starts, self.each, self.base = (np.array(x, np.int64)[order] for x in (starts, each, base))
 
 
+def profile_list(profiles: DataFrame) -> list[tuple[str, int]]:
+    """The distinct profiles (profile, capacity) with a positive capacity; at most MAX_PROFILES, as every item is packed once for each."""
+    found = profiles.where("capacity > 0").select("profile", F.col("capacity").cast("int")).distinct().orderBy("profile", "capacity").limit(MAX_PROFILES + 1).collect()
+    if len(found) > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} profiles")
+    return [tuple(r) for r in found]
+
+
 def pieces_of(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(profile, capacity, id, piece_no, start_token, n_tokens): each text, split only where it alone exceeds a container."""
-    p = profiles.select("profile", "capacity").where("capacity > 0").distinct()
+    known = profile_list(profiles)
+    each = F.array(*[F.struct(F.lit(p).cast("string").alias("profile"), F.lit(c).alias("capacity")) for p, c in known]) if known else F.array().cast("array<struct<profile: string, capacity: int>>")
     n, c = F.col("n_tokens"), F.col("capacity")
     starts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / c), F.lit(0)).cast("int"))
     return (
-        sizes.join(F.broadcast(p))
+        sizes.select(id_col, "n_tokens", F.explode(each).alias("_p")).select("_p.profile", "_p.capacity", id_col, "n_tokens")
         .select("profile", "capacity", id_col, "n_tokens", F.explode(starts).alias("piece_no"))
         .withColumn("start_token", F.col("piece_no") * c)
         .withColumn("n_tokens", F.least(c, n - F.col("start_token")))
-    )
+    )
 
 
 def pack(sizes: DataFrame, profiles: DataFrame, id_col: str = "doc_id") -> DataFrame:

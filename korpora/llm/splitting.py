@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.encode import TOKENIZER_DIR, VOCABULARY, WordBatch, encoder, words_of
+from korpora.llm.encode import VOCABULARY, WordBatch, encoder, vocabulary_file, words_of
 
 # Boundary letters, the strongest first: paragraph, line, sentence, clause,
 # word, joint of a word and punctuation, inside a word, inside a character.
@@ -117,7 +117,7 @@ def boundary_strings(
     docs: DataFrame, longer_than: int, id_col: str, text_col: str, tokenizer_dir: str | None = None, vocabulary: str = VOCABULARY
 ) -> DataFrame:
     """(id, blocks, letters, byte_ends) of the texts with more than ``longer_than`` tokens."""
-    path = f"{tokenizer_dir or TOKENIZER_DIR}/{vocabulary}"
+    path = vocabulary_file(docs.sparkSession, tokenizer_dir, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
