@@ -13,6 +13,10 @@ HISTORY_CAP, RETENTION_DAYS, LIST_DEFAULT = 200, 90, 20
 USAGE_DAYS, FAIR_USE = 7, 2000
 COOLDOWN_HOURS = 6
 THIN_TOTAL = 3
+
+#: Requests that one task puts in order.
+SLICE = 100_000
+# Settings and their defaults.
 DEFAULT_SETTINGS = {"resultsPerPage": "10", "openInNewTab": "false", "autoExpandWhy": "false", "suggestions": "true", "saveHistory": "true", "theme": "system"}
 
 
@@ -102,16 +106,21 @@ def cooldown_runs(searches: DataFrame, hours: int = COOLDOWN_HOURS) -> DataFrame
     q = F.lower(F.trim("q"))
     asked = searches.where("trim(q) <> ''").select(q.alias("q"), F.unix_micros(F.col("searched_at").cast("timestamp")).alias("t")).where("t IS NOT NULL").distinct()
     asked = materialize(asked, "asked")
-    jump = materialize(_next_allowed(asked, hours * 3_600_000_000), "jumps")
-    runs = materialize(asked.groupBy("q").agg(F.min("t").alias("t")), "runs")
+    runs = _reached(asked.groupBy("q").agg(F.min("t").alias("t")), _next_allowed(asked, hours * 3_600_000_000), "q")
+    return runs.select("q", F.timestamp_micros("t").alias("run_at"))
+
+
+def _reached(starts: DataFrame, jump: DataFrame, key: str) -> DataFrame:
+    """(key, t) that pointers (key, t, next) lead to from the starts (key, t), the starts included; pointers are doubled each round."""
+    jump, met = materialize(jump, "jumps"), materialize(starts, "reached")
     while True:
-        ahead = runs.join(jump, ["q", "t"]).select("q", F.col("next").alias("t"))
-        added = materialize(ahead.join(runs, ["q", "t"], "left_anti"), "runs")
+        ahead = met.join(jump, [key, "t"]).select(key, F.col("next").alias("t"))
+        added = materialize(ahead.join(met, [key, "t"], "left_anti"), "reached")
         if added.isEmpty():
-            return runs.select("q", F.timestamp_micros("t").alias("run_at"))
-        runs = materialize(runs.unionByName(added), "runs")
-        further = jump.select("q", F.col("t").alias("next"), F.col("next").alias("far"))
-        jump = materialize(jump.join(further, ["q", "next"]).select("q", "t", F.col("far").alias("next")), "jumps")
+            return met
+        met = materialize(met.unionByName(added), "reached")
+        further = jump.select(key, F.col("t").alias("next"), F.col("next").alias("far"))
+        jump = materialize(jump.join(further, [key, "next"]).select(key, "t", F.col("far").alias("next")), "jumps")
 
 
 def thin_searches(searches: DataFrame) -> DataFrame:
@@ -148,6 +157,47 @@ def provider_choice(results: DataFrame) -> DataFrame:
     return results.where("ok AND n > 0").groupBy("request").agg(F.min_by("provider", F.struct("priority", "provider")).alias("provider"))
 
 
+def failover(results: DataFrame, fallback: str) -> DataFrame:
+    """(request, at, provider) from what each instance would answer a request (request, at, provider, priority, ok, n); ``at`` orders the requests.
+
+    The instance that answered last is tried first, then the others by priority;
+    an answer with nothing in it is a failure. What none of them answers goes to
+    the ``fallback``, which changes nothing for the next. An instance is thus
+    left at the first request that it fails and another one answers: each
+    request points to where the instance chosen there is left, and what these
+    pointers reach from the first answer are the changes of instance.
+    """
+    held = results.select("request", "at", "provider", "priority", (F.col("ok") & (F.col("n") > 0)).alias("good"))
+    best = F.min_by("provider", F.when(F.col("good"), F.struct("priority", "provider")))
+    failed = F.collect_set(F.when(~F.coalesce("good", F.lit(False)), F.col("provider"))).alias("failed")  # of the few instances
+    asked = materialize(held.groupBy("request", "at").agg(best.alias("best"), failed), "asked")
+    answered = asked.where("best IS NOT NULL").select(F.lit(0).alias("log"), F.col("at").alias("t"), "best", "failed", F.floor(F.col("at") / SLICE).alias("slice"))
+    fails = answered.select(F.explode("failed").alias("provider"), "t", "slice")
+    # The next failure of an instance: within the slice of requests, or the first one of a later slice.
+    firsts = fails.groupBy("provider", "slice").agg(F.min("t").alias("first"))
+    both = fails.select("provider", "slice", "t", F.col("t").alias("failed")).unionByName(answered.select(F.col("best").alias("provider"), "slice", "t", F.lit(None).cast("bigint").alias("failed")))
+    slices = both.select("provider", "slice").distinct()
+    later = W.partitionBy("provider").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    after = slices.join(firsts, ["provider", "slice"], "left").select("provider", "slice", F.min("first").over(later).alias("after"))
+    within = W.partitionBy("provider", "slice").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, -1)
+    found = both.withColumn("here", F.min("failed").over(within)).where("failed IS NULL").join(after, ["provider", "slice"])
+    jump = found.select(F.lit(0).alias("log"), "t", F.coalesce("here", "after").alias("next")).where("next IS NOT NULL")
+    changes = _reached(answered.groupBy("log").agg(F.min("t").alias("t")), jump, "log").join(answered.select("t", "best"), "t").select("t", "best")
+    return asked.join(_in_force(asked, changes), "at").select("request", "at", F.when(F.col("best").isNull(), fallback).otherwise(F.col("instance")).alias("provider"))
+
+
+def _in_force(asked: DataFrame, changes: DataFrame) -> DataFrame:
+    """(at, instance): the instance of the last change (t, best) up to each request; null before the first."""
+    slice_of = lambda c: F.floor(F.col(c) / SLICE).alias("slice")
+    known = changes.select(F.col("t").alias("at"), "best", slice_of("t"))
+    rows = known.withColumn("asks", F.lit(False)).unionByName(asked.select("at", F.lit(None).cast("string").alias("best"), slice_of("at"), F.lit(True).alias("asks")).distinct())
+    within = W.partitionBy("slice").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)  # one row for each slice
+    ends = rows.groupBy("slice").agg(F.max_by("best", F.when(F.col("best").isNotNull(), F.col("at"))).alias("end")).select("slice", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    told = rows.withColumn("here", F.last("best", ignorenulls=True).over(within)).where("asks").join(ends, "slice")
+    return told.select("at", F.coalesce("here", "before").alias("instance"))
+
+
 def fresh_candidates(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Discovered URLs (url) that are not indexed yet, once each."""
     return found.select("url").where("url IS NOT NULL").distinct().join(docs.select("url"), "url", "left_anti")

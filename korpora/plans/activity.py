@@ -91,6 +91,12 @@ def provider_failover(spark: SparkSession, d: str) -> DataFrame:
     return activity.provider_choice(rows.selectExpr("search_id AS request", "concat('p', k) AS provider", *ANSWER_COLUMNS))
 
 
+def provider_last_good(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "searches").groupBy("search_id").agg(F.max("total").alias("total")).select("search_id", "total", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    answers = rows.selectExpr("search_id AS request", "search_id AS at", "concat('p', k) AS provider", *ANSWER_COLUMNS)
+    return activity.failover(answers, "wide").select("request", "provider")
+
+
 def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "docs").where("domain IS NOT NULL AND url IS NOT NULL")
     rules = robots.choose_group(robots.parse(docs.select(F.col("domain").alias("origin")).distinct().withColumn("text", F.expr(ROBOTS.replace("domain", "origin")))), "korporabot/1.0")
@@ -124,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         searches_once, history_collapsed, history_recent_capped, history_retention, history_merge_owners, usage_daily, usage_retention,
-        fair_use_refusals, cooldown_decisions, thin_result_queries, settings_effective, provider_failover, robots_allowed, fetch_policies,
+        fair_use_refusals, cooldown_decisions, thin_result_queries, settings_effective, provider_failover, provider_last_good, robots_allowed, fetch_policies,
         fresh_candidates, stream_daily_usage, stream_session_history, stream_dedupe_urls,
     )
 }
@@ -167,6 +173,11 @@ SQL = {
       UNION ALL SELECT owner, key, value, error FROM e WHERE error IS NOT NULL""",
     "provider_failover": f"""{_ONCE}, r AS (SELECT search_id AS request, 'p' || k AS provider, {_sql_mod(', '.join(ANSWER_COLUMNS))} FROM (SELECT *, unnest([0, 1, 2]) AS k FROM once))
       SELECT request, arg_min(provider, priority) AS provider FROM r WHERE ok AND n > 0 GROUP BY request""",
+    "provider_last_good": f"""WITH RECURSIVE s AS (SELECT search_id, max(total) AS total FROM searches GROUP BY search_id),
+      r AS (SELECT search_id AS request, 'p' || k AS provider, {_sql_mod(', '.join(ANSWER_COLUMNS))} FROM (SELECT *, unnest([0, 1, 2]) AS k FROM s)),
+      a AS (SELECT request, row_number() OVER (ORDER BY request) AS nth, arg_min(provider, priority) FILTER (ok AND n > 0) AS best, list(provider) FILTER (ok AND n > 0) AS good FROM r GROUP BY request),
+      w(nth, instance) AS (SELECT CAST(0 AS BIGINT), NULL::VARCHAR UNION ALL SELECT a.nth, CASE WHEN a.best IS NULL OR list_contains(a.good, instance) THEN instance ELSE a.best END FROM w JOIN a ON a.nth = w.nth + 1)
+      SELECT request, CASE WHEN best IS NULL THEN 'wide' ELSE instance END AS provider FROM a JOIN w USING (nth)""",
     "robots_allowed": r"""WITH p AS (SELECT DISTINCT domain AS origin, regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS path FROM docs WHERE domain IS NOT NULL AND url IS NOT NULL)
       SELECT origin, path, CASE length(origin) % 3 WHEN 0 THEN starts_with(path, '/ab') OR NOT (starts_with(path, '/a') OR (path LIKE '/%1')) AND true WHEN 1 THEN true ELSE NOT regexp_matches(path, '^/.*o.*e') END AS allowed FROM p""",
     "fresh_candidates": f"WITH {LIVE} SELECT DISTINCT u AS url FROM (SELECT unnest(list_transform(links, lambda x: {sql_url('x')})) AS u FROM live) WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM live)",

@@ -90,6 +90,22 @@ def test_cooldown_equals_going_through_the_log(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_the_instance_that_answered_last_is_tried_first(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(activity, "SLICE", 7)
+    random.seed(3)
+    rows = [(f"r{t}", t, p, k, random.random() < 0.7, random.randint(0, 3)) for t in range(3, 80) for k, p in enumerate("xyz")]
+    want, last = {}, None
+    for t in range(3, 80):
+        good = [p for _, at, p, _, ok, n in rows if at == t and ok and n]
+        last = last if last in good else good[0] if good else last
+        want[f"r{t}"] = last if good else "wide"
+    got = activity.failover(spark.createDataFrame(rows, "request string, at bigint, provider string, priority int, ok boolean, n int"), "wide").collect()
+    assert {r["request"]: r["provider"] for r in got} == want and len(got) == len(want) and "wide" in want.values()
+    assert activity.failover(spark.createDataFrame([], "request string, at bigint, provider string, priority int, ok boolean, n int"), "wide").count() == 0
+
+
 def test_crawl_order(spark):
     from korpora.operators.graph import crawl_order
 
