@@ -16,17 +16,15 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of sample text that the bigrams are counted in, at most.
-SAMPLE_ROWS = 5000
-
 # Look-alikes of Latin letters.
 LOOK_ALIKES = {
     "a": "аαɑ", "b": "Ьь", "c": "сϲ", "d": "ԁ", "e": "еҽ", "f": "ƒ", "g": "ɡ", "h": "һ", "i": "іιı", "j": "јϳ", "k": "кκ", "l": "ӏ",
@@ -91,15 +89,10 @@ class Lattice:
     #: Log price of the end of a word of another alphabet.
     END = math.log(5)
 
-    def __init__(self, texts: Iterable[str]):
-        pairs: Counter = Counter()
+    def __init__(self, pairs: Mapping[tuple[str, str], int]):
         firsts: Counter = Counter()
-        for text in texts:
-            for word in _WORD.findall((text or "").lower()):
-                if word.isalpha() and not mixed(word):
-                    for a, b in zip("^" + word, word + "$"):
-                        pairs[a, b] += 1
-                        firsts[a] += 1
+        for (a, _), n in pairs.items():
+            firsts[a] += n
         self.pairs, self.firsts = dict(pairs), dict(firsts)
 
     def price(self, a: str, b: str) -> float:
@@ -150,9 +143,33 @@ def consistent(text: str, lattice: Lattice) -> tuple[str, list[str]]:
 _RESULT = T.StructType([T.StructField("form", T.StringType()), T.StructField("issues", T.ArrayType(T.StringType()))])
 
 
-def fit_lattice(samples: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Lattice:
-    """Bigrams from at most ``rows`` sample texts."""
-    return Lattice(r[0] for r in samples.select(text_col).where(F.col(text_col).isNotNull()).limit(rows).collect())
+def pair_counts(samples: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, n): how often b follows a in the words of all sample texts, with '^' before and '$' after a word.
+
+    Of a word without Latin letters only the start is counted: it counts towards
+    '^', and no reading is priced by its other pairs. So the rows are as many as
+    pairs of Latin letters and first letters, however many texts there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        for batch in batches:
+            words: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                words.update(_WORD.findall(text.lower()))
+            for word, n in words.items():
+                if word.isalpha() and not mixed(word):
+                    for pair in zip("^" + word, word + "$") if script(word[0]) == "LATIN" else [("^", word[0])]:
+                        pairs[pair] += n
+        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "n": list(pairs.values())}, pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+
+    texts = samples.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return texts.mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def fit_lattice(samples: DataFrame, text_col: str = "text") -> Lattice:
+    """Bigrams of all sample texts."""
+    return Lattice({(r["a"], r["b"]): r["n"] for r in pair_counts(samples, text_col).collect()})
 
 
 def form_of(value: Column, lattice: Lattice) -> tuple[Column, Column]:
@@ -186,7 +203,8 @@ def consistent_forms(docs: DataFrame, terms: DataFrame, samples: DataFrame) -> D
     """(place, shard, row_key, form, issues) of every title, text and display form.
 
     One row per value of the tables, repeated rows and null values included
-    (null form, no issues); extra columns are ignored. Nothing is shuffled.
+    (null form, no issues); extra columns are ignored. Nothing is shuffled but the
+    counts of pairs of letters in the samples.
     """
     form, issues = form_of(F.col("value"), fit_lattice(samples))
     return text_places(docs, terms).select("place", "shard", "row_key", form.alias("form"), issues.alias("issues"))

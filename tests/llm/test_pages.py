@@ -152,6 +152,20 @@ def test_forms_of_odd_rows(spark, samples):
     assert all(r["form"] is not None or not r["issues"] for r in got)
 
 
+def test_pairs_are_counted_in_all_samples(spark, samples):
+    """Counts by hand over more rows than any sample took; a reading that only the later rows decide; the same in any order."""
+    texts = [r["text"] for r in samples.collect()] * 20 + [None, "", "вода vоda b2b Ünder"]
+    want = collections.Counter(p for t in texts for w in re.findall(r"[^\W_]+", (t or "").lower()) if w.isalpha() and not forms.mixed(w) and w != "вода" for p in zip("^" + w, w + "$"))
+    lattice = forms.fit_lattice(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert lattice.pairs == want | {("^", "в"): 1} and lattice.firsts["^"] == sum(n for (a, _), n in lattice.pairs.items() if a == "^")
+
+    rows = spark.range(0, 12_000, 1, 1).selectExpr("CASE WHEN id < 6000 THEN 'sun' ELSE 'cop' END AS text", "id")
+    for some in (rows, rows.repartition(3), rows.orderBy(F.desc("id"))):
+        lattice = forms.fit_lattice(some)
+        assert lattice.pairs["^", "s"] == lattice.pairs["^", "c"] == 6000 and forms.consistent("cор", lattice) == ("cop", ["mixed"])
+    assert forms.consistent("cор", forms.fit_lattice(rows.limit(6000))) == ("сор", ["mixed"])
+
+
 # p2
 
 
