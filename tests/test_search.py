@@ -229,6 +229,22 @@ def test_every_search_of_a_log_is_answered(spark):
     assert len(got) > 30 and 20 * (len(texts) - 5) not in got
 
 
+def test_the_batch_weighs_postings_beyond_the_cap(spark):
+    """Pages beyond the cap of one word are found by it, count with the other, and stand in the order of all."""
+    from korpora.operators.index import recapped
+    from korpora.plans import search
+
+    ix = corpus(spark, *[{"text": "word " * (i % 7 + 1) + "rope " * (i % 3 == 0) + "lamp " * (i % 5 == 0), "host": f"h{i}.example"} for i in range(30)])
+    texts = {20: "word", 40: "word rope", 60: "rope lamp", 80: '"word rope"', 100: "lamp -rope"}
+    log = spark.createDataFrame(list(texts.items()), "search_id bigint, q string")
+    none = spark.createDataFrame([], "doc_id bigint, authority double")
+    got = {}
+    for r in search.answered(log, recapped(ix, 2), none, F.lit(NOW).cast("timestamp")).orderBy("search_id", "place").collect():
+        got.setdefault(r["search_id"], []).append((r["place"], r["doc_id"], r["score"]))
+    assert got == {i: [(p, d, pytest.approx(s, abs=2e-4)) for p, d, s in brute_hits(ix, q, 10, {})] for i, q in texts.items()}
+    assert "50000" not in search.SQL["batch_search_topk"].replace("_", "")
+
+
 def test_the_batch_covers_the_log(spark, sf_dir):
     from korpora import plans
 
