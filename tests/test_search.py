@@ -245,6 +245,44 @@ def test_the_batch_weighs_postings_beyond_the_cap(spark):
     assert "50000" not in search.SQL["batch_search_topk"].replace("_", "")
 
 
+def test_the_batch_agrees_with_single_scores(spark):
+    """Queries in one plan against ``batch.first_hits`` over several blocks: few and many pages of a domain, equal scores, relaxed pools, repeats and operators."""
+    import random
+
+    from korpora.operators import batch
+
+    random.seed(11)
+    words = ["kelp", "rope", "lamp", "the", "tide", *[f"name{i}" for i in range(12)]]
+    odds = [30, 20, 10, 40, 5, *[1] * 12]
+    ix = corpus(spark, *[{"title": random.choice(words), "text": " ".join(random.choices(words, odds, k=random.choice((3, 12)))), "host": f"h{min(i % 9, 4)}.example", "links": ["https://h1.example/2"]} for i in range(400)])
+    texts = [" ".join(random.choices(words, odds, k=k % 5 + 1)) for k in range(120)] + [f"{a} {b}" for a in words[5:] for b in words[:5]]
+    texts += ["kelp kelp", "the", "the the", "kelp nowhere", "name1 name2 nowhere", '"kelp rope"', '"the kelp" "rope the"', "rope -kelp", "name3 -nowhere -tide", "kelp site:h2.example", "name4 lamp site:example.org", '"kelp nowhere"', "-kelp"]
+    asked = query.query_table_of(spark.createDataFrame(list(enumerate(texts)), "qid bigint, q string"))
+    now, authority = F.lit(NOW).cast("timestamp"), graph.pagerank(ix.docs, ix.edges, iterations=5)
+    want = rank.diversify(rank.score(asked, ix, authority, now).withColumn("score", F.round("score", 4)), 10)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "place", "doc_id", "score").collect()))
+    assert rows(batch.first_hits(asked, ix, authority, now)) == rows(want) and want.count() > 1200
+
+
+def test_a_batch_moves_no_pairs_of_query_and_page(spark):
+    """240 queries by 500 pages that all share a word: what is shuffled grows with their numbers, not with their product."""
+    from korpora.plans import search
+
+    ix = corpus(spark, *[{"text": f"common word{i % 7}", "host": f"h{i}.example"} for i in range(500)])
+    log = spark.createDataFrame([(i, f"common other{i}") for i in range(240)], "search_id bigint, q string")
+    none = spark.createDataFrame([], "doc_id bigint, authority double")
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages())
+    assert search.answered(log, ix, none, F.lit(NOW).cast("timestamp")).count() == 2400
+    assert sum(n for k, n in stages().items() if k > last) < 240 * 500 / 3
+
+
 def test_the_batch_covers_the_log(spark, sf_dir):
     from korpora import plans
 
